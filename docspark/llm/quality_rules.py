@@ -47,9 +47,10 @@ def _repeat_words(windows: Column) -> Column:
     return F.get(F.transform(F.array(dealt), covered), F.lit(0))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The base counts of each row, and the counts that the other rules read."""
-    d = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
+def features(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """The base counts of each row, and those that the other rules read; with `whole_rows`, the row as struct `row`."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * whole_rows
+    d = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"), *row)
     d = d.withColumn("words", word_array(F.col("text"))).withColumn("n_words", F.size("words").cast("long"))
     d = d.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     # Hashes of 8 words by doubling: 2, then 4, then 8 in a row.
@@ -68,6 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         only(r"\p{Lu}").alias("n_capitals"),
         only("!").alias("n_exclaims"),
+        *["row"] * whole_rows,
     )
 
 
@@ -117,15 +119,25 @@ def fitted(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return one.selectExpr("p", "total", "other", f"aggregate(sequence(1, {rounds}), {start}, (q, i) -> {step}) AS q").selectExpr(f"{model} AS m").select("m.prior", "m.weights")
 
 
-def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the base counts, base_failed, posterior and kept, one row a document."""
-    seen = written(features(docs).withColumn("votes", votes()), "features")
-    model = fitted(seen).select(F.struct("prior", "weights")).scalar()
+def _judged(marked: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
+    """marked (features and votes) with base_failed, posterior and kept."""
     odds = F.col("m")["prior"] + F.aggregate(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), F.lit(0.0), lambda a, r: a + F.get(F.get(F.col("m")["weights"], r), F.get(F.col("votes"), r)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return seen.withColumn("m", model).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & (1 / (1 + F.exp(-odds)) >= threshold)).alias("kept"),
-        F.round(1 / (1 + F.exp(-odds)), 6).alias("posterior"),
+    d = marked.withColumn("m", model.select(F.struct("prior", "weights")).scalar()).withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
+def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and posterior, one row a document."""
+    seen = written(features(docs).withColumn("votes", votes()), "features")
+    return _judged(seen, fitted(seen), threshold).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior")
     )
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept. Texts are read twice and never shuffled."""
+    patterns = written(features(docs).select(votes().alias("votes")), "votes")
+    judged = _judged(features(docs, True).withColumn("votes", votes()), fitted(patterns), threshold)
+    # A condition that is not deterministic stays above the projections; pushed down, each count would be inlined over and over.
+    return judged.where(F.when(F.rand(0) >= 0, F.col("kept"))).select("row.*")
