@@ -18,7 +18,7 @@ from .common import WORD, column, written
 
 WEIGHTS = (3, 1, 2)
 #: Documents in a range of keys, on average.
-RANGE = 20_000
+RANGE = 2_000
 
 
 def budgets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
