@@ -139,6 +139,6 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept. Texts are read twice and never shuffled."""
     patterns = written(features(docs).select(votes().alias("votes")), "votes")
     judged = _judged(features(docs, True).withColumn("votes", votes()), fitted(patterns), threshold)
-    # rand is in [0, 1), so this is `kept`; but a condition that is not deterministic stays above the
-    # projections, while `kept` pushed down would inline every count over and over.
-    return judged.where(F.col("kept").cast("double") > F.rand(0)).select("row.*")
+    # chance is in [0, 1), so the condition is `kept`; but a filter stays above a projection that is not
+    # deterministic, while pushed down it would inline every count over and over.
+    return judged.withColumn("chance", F.rand(0)).where(F.col("kept").cast("double") > F.col("chance")).select("row.*")
