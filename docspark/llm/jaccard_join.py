@@ -13,8 +13,8 @@ A document is its set of distinct word shingles. Two documents link when
 3. T-occurrence search within what was routed together (`divide_skip`): inverted
    lists over the members are split into long ones, which are probed by binary search, and short
    ones, which are merged with a heap; members that reach the needed overlap stay.
-   A first round searches for one head of each key; a second one searches only between classes
-   that are not yet linked through a head.
+   A first round searches for one head of each class; a second one searches only between classes
+   that are not yet linked through a head. Sizes and parity bitmaps, which bound |A ^ B| from below, go first.
 4. Links give components.
 
 Rows with null id take part in no link and get a null component. Null and empty
@@ -222,17 +222,17 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     )
 
 
+def may_link(percent: int):
+    """Whether sizes a_n, b_n and parity bitmaps a_b0.., b_b0.. allow a link."""
+    apart = sum((F.bit_count(F.col(f"a_b{i}").bitwiseXOR(F.col(f"b_b{i}"))) for i in range(BITMAP)), F.lit(0))
+    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+
+
 def close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose sizes or parity bitmaps prove that they do not link."""
-    bits = [f"b{i}" for i in range(BITMAP)]
-    side = lambda p: classes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *(F.col(x).alias(f"{p}_{x}") for x in bits))
-    apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in bits), F.lit(0))
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))))
-        .select("a", "b")
-    )
+    """The pairs that sizes and bitmaps allow to link."""
+    side = lambda p: classes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *(F.col(f"b{i}").alias(f"{p}_b{i}") for i in range(BITMAP)))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(percent)).select("a", "b")
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -243,29 +243,32 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     bits = [f"b{i}" for i in range(BITMAP)]
     classes = named.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in ("n", *bits)))
     keyed = routed(docs.where("doc_id is not null"), k, percent).repartition("sig")
-    ends = keyed.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last")
-    lists = written(keyed.join(ends.select("sig", "head"), "sig").distinct(), "lists")
+    ends = keyed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    lists = written(keyed.join(ends.select("sig", "size"), "sig").distinct(), "lists")
+    # The class that shares most keys with others heads its lists: of copies with edits, the one nearest to all.
+    degree = lists.groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = lists.select("sig", "node").join(degree, "node").withColumn("rank", F.struct("degree", "node"))
+    heads = ranked.groupBy("sig").agg(F.max("rank").alias("head"))
+    nearest = ranked.select("sig", "node").join(heads, "sig").groupBy("node").agg(F.max("head")["node"].alias("a")).where("a <> node").select("a", F.col("node").alias("b"))
 
     def texts(of: DataFrame) -> DataFrame:
         wanted = of.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least_id"), "node")
         found = docs.withColumnRenamed("doc_id", "least_id").join(wanted, "least_id")
         return found.select("node", "text")
 
-    first = written(close(lists.where("node <> head").groupBy("node").agg(F.min("head").alias("a")).select("a", F.col("node").alias("b")), classes, percent), "pairs")
+    first = written(close(nearest, classes, percent), "pairs")
     linked = written(verified(first, texts(first), k, percent), "links")
+    lists = lists.select("sig", "node")
     label = lists.select("node").distinct().join(linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "node", "left").select("node", F.coalesce("to", "node").alias("label"))
     label = written(label.join(label.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
     marked = lists.join(label, "node").select("sig", "node", "label")
     mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    open_ = written(marked.join(mixed, "sig"), "open")
-    rest = (
-        open_.where("label <> lo").select("sig", F.col("node").alias("a"), F.col("label").alias("la"))
-        .join(open_.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "lo"), "sig")
-        .where("la <> lb and (lb = lo or a < b)")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    second = written(close(rest, classes, percent), "pairs")
+    # Only pairs that sizes and bitmaps allow leave the join.
+    open_ = written(marked.join(mixed.select("sig", "lo"), "sig").join(classes.drop("least_id"), "node"), "open")
+    left = open_.where("label <> lo").select("sig", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("a_n"), *(F.col(x).alias(f"a_{x}") for x in bits))
+    right = open_.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "lo", F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in bits))
+    rest = left.join(right, (left["sig"] == right["sig"]) & F.expr("la <> lb and (lb = lo or a < b)") & may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = written(rest, "pairs")
     links = linked.union(verified(second, texts(second), k, percent))
     reach = components(links).join(classes.select(F.col("node"), "least_id"), "node")
     least = reach.groupBy("component").agg(F.min("least_id").alias("component_id"))
