@@ -18,6 +18,8 @@ ignored; repeated rows give one row. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from .common import column
 GAP = r"[^\p{L}\p{N}]+"
 #: Positions that each mask reads; the last is solid and short.
 MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 3, 4, 5, 8, 9), (0, 1, 2, 3, 4, 5))
+SHARED = tuple(o for o in MASKS[0] if all(o in m for m in MASKS))
 #: log2 of the bits of each bitmap. Fuller bitmaps let more rows reach the join, no fewer.
 BITS = 18
 SPAN, NEED = 14, 0.75
@@ -77,15 +80,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, need:
     known, likely = _bitmap(items.select(F.explode("h").alias("x"))), _bitmap(seeds.select(F.col("seed").alias("x")))
     d = _hashed(docs, "doc_id").withColumn("known", F.transform("h", lambda x: _has(known, x)))
 
-    def passing(m: int) -> Column:
-        def test(i: Column) -> Column:
-            seen = F.lit(True)
-            for o in MASKS[m]:
-                seen = seen & F.get(F.col("known"), i + F.lit(o))
-            return seen & _has(likely, _seed(F.col("h"), i, m))
+    flag = lambda i, o: F.get(F.col("known"), i + F.lit(o) if o else i)
+    # All masks read the positions in SHARED, so these are tested once; positions past the end are null and fail.
+    both = lambda i, offsets: reduce(lambda x, y: x & y, (flag(i, o) for o in offsets))
+    at_all = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("from", F.filter(at_all, lambda i: both(i, SHARED)))
 
+    def passing(m: int) -> Column:
+        rest = [o for o in MASKS[m] if o not in SHARED]
         return F.transform(
-            F.filter(_positions(F.col("h"), m), test),
+            F.filter("from", lambda i: both(i, rest) & _has(likely, _seed(F.col("h"), i, m))),
             lambda i: F.struct(_seed(F.col("h"), i, m).alias("seed"), F.least(i, F.lit(reach)).alias("at"), _around(F.col("h"), i, reach).alias("ctx")),
         )
 
