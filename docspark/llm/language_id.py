@@ -136,11 +136,11 @@ def predict(net: ByteNet, pairs: list[np.ndarray], texts: list[bytes]) -> np.nda
     return total / np.maximum(total.sum(1, keepdims=True), 1e-12)
 
 
-def sample_by(df: DataFrame, label: str, per_label: int, keep: list[str], labels_at_most: int = 500) -> list:
-    """About `per_label` rows of each value of `label`, chosen by a hash of the text; bounded by their product."""
+def sample_by(df: DataFrame, label: str, per_label: int, keep: list[str], labels_at_most: int = 500, by: str = "text") -> list:
+    """About `per_label` rows of each value of `label`, chosen by a hash of `by`; bounded by their product."""
     counts = df.groupBy(label).count()
     share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count"))
-    chosen = df.join(F.broadcast(counts.limit(labels_at_most)), label).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = df.join(F.broadcast(counts.limit(labels_at_most)), label).where(F.pmod(F.xxhash64(by, F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
     return sorted(map(tuple, chosen.select(*keep).limit(2 * per_label * labels_at_most).collect()), key=repr)
 
 

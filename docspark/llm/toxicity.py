@@ -36,7 +36,7 @@ VOCABULARY = 2000
 #: Least chi-squared of a term of the vocabulary, and least number and share of label-1 examples with it.
 LEAST_CHI2, LEAST_SEEN, LEAST_SHARE = 20.0, 3, 0.01
 K = 25
-BLOCK = 64
+BLOCK = 512
 
 
 def term_counts(text: str | None, stems=None) -> dict[str, int]:
@@ -85,27 +85,35 @@ class BlockMaxIndex:
         self.ids = [np.array([i for i, _ in x], np.int64) for x in lists]
         self.weights = [np.array([w for _, w in x]) for x in lists]
         self.tops = np.zeros((n_terms, self.blocks))
-        self.cuts = []
+        self.cuts: list[list[int]] = []
         for t in range(n_terms):
             np.maximum.at(self.tops[t], self.ids[t] // BLOCK, self.weights[t])
-            self.cuts.append(np.searchsorted(self.ids[t], np.arange(self.blocks + 1) * BLOCK))
+            self.cuts.append(np.searchsorted(self.ids[t], np.arange(self.blocks + 1) * BLOCK).tolist())
 
     def search(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest positive dot product, ties by example; exact."""
+        """The k examples of greatest positive dot product, exactly; ties go by block bound, then example."""
         if not query:
             return []
         terms = list(query)
         bounds = sum(query[t] * self.tops[t] for t in terms)
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
+        least = 0.0
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] <= least:
                 break
             scores = np.zeros(BLOCK)
             for t in terms:
                 lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.ids[t][lo:hi] - b * BLOCK] += query[t] * self.weights[t][lo:hi]
-            found = [(-round(float(scores[i]), 12), int(i + b * BLOCK)) for i in np.flatnonzero(scores > 0)]
-            best = sorted(best + [f for f in found if f[1] != without])[:k]
+                if lo < hi:
+                    scores[self.ids[t][lo:hi] - b * BLOCK] += query[t] * self.weights[t][lo:hi]
+            if 0 <= without - b * BLOCK < BLOCK:
+                scores[without - b * BLOCK] = 0
+            found = np.flatnonzero(scores > least)
+            if len(found) > k:
+                found = found[np.argsort(-scores[found], kind="stable")[:k]]
+            best = sorted(best + [(-s, i) for s, i in zip(scores[found].tolist(), (found + b * BLOCK).tolist(), strict=True)], key=lambda x: x[0])[:k]
+            if len(best) == k:
+                least = -best[-1][0]
         return [(-s, i) for s, i in best]
 
 
@@ -161,7 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int =
     """learn_from: a condition on doc_id. Word statistics are counted over all rows of docs."""
     d = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     y = labels.select(column(labels, "doc_id", "long").alias("doc_id"), column(labels, "toxic", "int").alias("y")).where("y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = sample_by(d.where(learn_from & F.col("text").isNotNull()).join(y, "doc_id"), "y", per_label, ["doc_id", "text", "y"], 2)
+    d = d.withColumn("h", F.xxhash64("text"))
+    ids = sample_by(d.where(learn_from & F.col("text").isNotNull()).select("doc_id", "h").join(y, "doc_id"), "y", per_label, ["doc_id", "h", "y"], 2, by="h")
+    # At most 4 * per_label ids: small enough to send to every executor, so that texts need not move.
+    wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, h long, y int").distinct()
+    chosen = sorted({tuple(r) for r in d.join(F.broadcast(wanted), ["doc_id", "h"]).select("doc_id", "text", "y").collect()})
     vocabulary = choose_vocabulary([(t, y) for _, t, y in chosen])
     known, stems = frozenset(vocabulary), frozenset(w.removesuffix("+") for w in vocabulary)
 
