@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs.
+
+    Spark removes them once the driver's garbage collector finds their plans unused; asking for that between
+    large steps keeps disks from holding every shuffle of a long job at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """The column cast to `kind`, or a typed null where the table lacks it."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)

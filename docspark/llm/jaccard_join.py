@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, doc_word_hashes, mix, shingle_set, written
+from .common import column, doc_word_hashes, mix, release, shingle_set, written
 from .components import components
 
 _U = np.uint64
@@ -210,7 +210,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         if sets:
             yield flush()
 
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    # Members of one query are cut into blocks of about BLOCK, so a hot query is searched by many tasks.
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    pairs = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     blocks = pairs.select("a", "block").distinct().select("a", "block", F.col("a").alias("b"))
     asked = pairs.select("a", "block", "b").unionByName(blocks)
     return (
@@ -245,6 +247,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     keyed = routed(docs.where("doc_id is not null"), k, percent).repartition("sig")
     ends = keyed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     lists = written(keyed.join(ends.select("sig", "size"), "sig").distinct(), "lists")
+    release(docs.sparkSession)
     # The class that shares most keys with others heads its lists: of copies with edits, the one nearest to all.
     degree = lists.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = lists.select("sig", "node").join(degree, "node").withColumn("rank", F.struct("degree", "node"))
@@ -258,6 +261,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     first = written(close(nearest, classes, percent), "pairs")
     linked = written(verified(first, texts(first), k, percent), "links")
+    release(docs.sparkSession)
     lists = lists.select("sig", "node")
     label = lists.select("node").distinct().join(linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "node", "left").select("node", F.coalesce("to", "node").alias("label"))
     label = written(label.join(label.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
@@ -269,7 +273,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     right = open_.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "lo", F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in bits))
     rest = left.join(right, (left["sig"] == right["sig"]) & F.expr("la <> lb and (lb = lo or a < b)") & may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = written(rest, "pairs")
-    links = linked.union(verified(second, texts(second), k, percent))
+    links = written(linked.union(verified(second, texts(second), k, percent)), "links")
+    release(docs.sparkSession)
     reach = components(links).join(classes.select(F.col("node"), "least_id"), "node")
     least = reach.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = reach.join(least, "component").select("node", "component_id")
