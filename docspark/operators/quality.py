@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +76,6 @@ def grounded_in(df: DataFrame, column: str, source: str) -> DataFrame:
 
 def fuzzy_grounded(least: float = 0.85):
     """Column function (value, source) -> whether some window of the source of the value's length is similar enough."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def near(value: pd.Series, source: pd.Series) -> pd.Series:
         def one(v, s):

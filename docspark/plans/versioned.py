@@ -20,9 +20,9 @@ class VersionedTable:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def current(self) -> str | None:
-        if not self._fs.exists(self._path("_current")):
+        if not self._fs.exists(self._path("current.json")):
             return None
-        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.root}/_current").first()[1])["version"]
+        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.root}/current.json").first()[1])["version"]
 
     def read(self) -> DataFrame:
         version = self.current()
@@ -34,10 +34,10 @@ class VersionedTable:
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{version}")
-        out = self._fs.create(self._path("_next"), True)
+        out = self._fs.create(self._path("next.json"), True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        if self._fs.exists(self._path("_current")):
-            self._fs.delete(self._path("_current"), False)
-        self._fs.rename(self._path("_next"), self._path("_current"))
+        if self._fs.exists(self._path("current.json")):
+            self._fs.delete(self._path("current.json"), False)
+        self._fs.rename(self._path("next.json"), self._path("current.json"))
         return version

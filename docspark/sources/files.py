@@ -91,6 +91,7 @@ class _Page(HTMLParser):
             self.out.append("\n")
         if tag in ("td", "th") and self._cell is not None and self.tables:
             self.tables[-1][-1].append(" ".join("".join(self._cell).split()))
+            self.out.append(" ")
             self._cell = None
         if re.fullmatch("h[1-6]", tag) and self._head is not None:
             self.sections.append((int(tag[1]), " ".join("".join(self._head).split())))
