@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once by the numpy code; longer texts are cut at whitespace.
-PIECE = 4 << 20
+PIECE = 1 << 19
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
