@@ -50,6 +50,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bitmap_of(df: DataFrame, name: str, bits: int) -> bytes:
+    """The low bits of a bigint column as a bitmap of 2**bits bits: its size does not grow with the rows."""
+    words = df.groupBy(F.shiftright(F.col(name).bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(`{name}` & 63 AS INT))")).alias("b"))
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    for w, b in words.toLocalIterator():  # at most 2**(bits - 6) rows
+        bitmap[w] = b
+    return bitmap.tobytes()
+
+
+def in_bitmap(values: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    slot = values & ((1 << bits) - 1)
+    return (bitmap[slot >> 3] >> (slot & 7)) & 1 == 1
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """The column cast to `kind`, or a typed null where the table lacks it."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -33,12 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, doc_word_hashes, mix, release, shingle_set, written
+from .common import bitmap_of, column, doc_word_hashes, in_bitmap, mix, release, shingle_set, written
 from .components import components
 
 _U = np.uint64
 #: Members of one query that are searched together.
 BLOCK = 512
+#: log2 of the bits of the bitmap of wanted ids.
+BITS = 24
 #: 64-bit words of the parity bitmap: its Hamming distance never exceeds |A ^ B|.
 BITMAP = 8
 
@@ -180,6 +183,20 @@ def routed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "sig long, node long")
 
 
+def packed(docs: DataFrame, bitmap: bytes) -> DataFrame:
+    """(least_id, packed): compressed texts of the ids in the bitmap, so that little else is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
+        for pdf in batches:
+            pdf = pdf[in_bitmap(pdf["doc_id"].to_numpy(np.int64), bits, BITS)]
+            data = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in pdf["text"].tolist()]
+            yield pd.DataFrame({"least_id": pdf["doc_id"].to_numpy(), "packed": pd.Series(data, dtype=object)})
+
+    return docs.where("doc_id is not null").mapInPandas(run, "least_id long, packed binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) of `pairs` that link; a is searched against the inverted lists of its b."""
 
@@ -194,7 +211,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             return out
 
         for pdf in batches:
-            for a, b, words in zip(pdf["a"].tolist(), pdf["b"].tolist(), doc_word_hashes(pdf["text"].tolist()), strict=True):
+            for a, b, words in zip(pdf["a"].tolist(), pdf["b"].tolist(), doc_word_hashes([zlib.decompress(x).decode("utf-8", "surrogatepass") for x in pdf["packed"].tolist()]), strict=True):
                 s = shingle_set(words, k)
                 if _node(s) != b:  # another text under the same id
                     continue
@@ -219,7 +236,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         asked.join(texts.withColumnRenamed("node", "b"), "b")
         .repartition("a", "block")
         .sortWithinPartitions("a", "block", F.col("a") != F.col("b"), "b")
-        .select("a", "b", "text")
+        .select("a", "b", "packed")
         .mapInPandas(run, "a long, b long")
     )
 
@@ -255,9 +272,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     nearest = ranked.select("sig", "node").join(heads, "sig").groupBy("node").agg(F.max("head")["node"].alias("a")).where("a <> node").select("a", F.col("node").alias("b"))
 
     def texts(of: DataFrame) -> DataFrame:
+        """(node, packed): the compressed text of every class in the pairs `of`."""
         wanted = of.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least_id"), "node")
-        found = docs.withColumnRenamed("doc_id", "least_id").join(wanted, "least_id")
-        return found.select("node", "text")
+        wanted = written(wanted, "wanted")
+        return packed(docs, bitmap_of(wanted, "least_id", BITS)).join(wanted, "least_id").select("node", "packed")
 
     first = written(close(nearest, classes, percent), "pairs")
     linked = written(verified(first, texts(first), k, percent), "links")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _power_tables, column, mix, written
+from .common import _BYTE, _power_tables, bitmap_of, column, in_bitmap, mix, written
 
 _U = np.uint64
 LEAST = 96
@@ -87,8 +87,7 @@ def chunk_rows(docs: DataFrame, bitmap: bytes | None = None, least: int = LEAST)
         def made(ids: list[int], texts: list[bytes]):
             owner, start, end, digest, check = chunks(texts, least)
             if bits is not None:
-                slot = digest & ((1 << BITS) - 1)
-                keep = (bits[slot >> 3] >> (slot & 7)) & 1 == 1
+                keep = in_bitmap(digest, bits, BITS)
                 owner, start, end, digest, check = (x[keep] for x in (owner, start, end, digest, check))
             for at in range(0, len(owner), 200_000):
                 part = slice(at, at + 200_000)
@@ -115,11 +114,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, start, end): the merged spans of each document that also stand in another one."""
     seen = chunk_rows(docs, None, least).groupBy("digest", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     twice = written(seen.select("digest", "check"), "digests")
-    words = twice.groupBy(F.shiftright(F.col("digest").bitwiseAND(F.lit((1 << BITS) - 1)), 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(digest & 63 AS INT))")).alias("b"))
-    bitmap = np.zeros(1 << (BITS - 6), np.int64)
-    for w, b in words.toLocalIterator():  # at most 2**(BITS - 6) rows
-        bitmap[w] = b
-    of = chunk_rows(docs, bitmap.tobytes(), least).join(twice, ["digest", "check"]).select("doc_id", "start", "end").distinct()
+    of = chunk_rows(docs, bitmap_of(twice, "digest", BITS), least).join(twice, ["digest", "check"]).select("doc_id", "start", "end").distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     fresh = F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     numbered = of.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
