@@ -13,8 +13,8 @@ A document is its set of distinct word shingles. Two documents link when
 3. T-occurrence search within what was routed together (`divide_skip`): inverted
    lists over the members are split into long ones, which are probed by binary search, and short
    ones, which are merged with a heap; members that reach the needed overlap stay.
-   A first round searches for one head of each class; a second one searches only between classes
-   that are not yet linked through a head. Sizes and parity bitmaps, which bound |A ^ B| from below, go first.
+   A first round searches for one head of each class, a second one for the class of each
+   other component that shares most keys, and a last one for all pairs of components that are still apart. Sizes and parity bitmaps, which bound |A ^ B| from below, go first.
 4. Links give components.
 
 Rows with null id take part in no link and get a null component. Null and empty
@@ -281,17 +281,28 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     linked = written(verified(first, texts(first), k, percent), "links")
     release(docs.sparkSession)
     lists = lists.select("sig", "node")
-    label = lists.select("node").distinct().join(linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "node", "left").select("node", F.coalesce("to", "node").alias("label"))
-    label = written(label.join(label.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
-    marked = lists.join(label, "node").select("sig", "node", "label")
-    mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    # Only pairs that sizes and bitmaps allow leave the join.
-    open_ = written(marked.join(mixed.select("sig", "lo"), "sig").join(classes.drop("least_id"), "node"), "open")
-    left = open_.where("label <> lo").select("sig", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("a_n"), *(F.col(x).alias(f"a_{x}") for x in bits))
-    right = open_.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "lo", F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in bits))
-    rest = left.join(right, (left["sig"] == right["sig"]) & F.expr("la <> lb and (lb = lo or a < b)") & may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = written(rest, "pairs")
-    links = written(linked.union(verified(second, texts(second), k, percent)), "links")
+    nodes = written(lists.select("node").distinct(), "nodes")
+
+    def between(links: DataFrame) -> DataFrame:
+        """(a, b, lb) of every shared key of classes that `links` leaves apart and that sizes and bitmaps allow."""
+        label = nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+        marked = lists.join(label, "node").select("sig", "node", "label")
+        mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig", "lo")
+        open_ = written(marked.join(mixed, "sig"), "open")
+        sized = open_.join(classes.drop("least_id"), "node")
+        left = sized.where("label <> lo").select("sig", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("a_n"), *(F.col(x).alias(f"a_{x}") for x in bits))
+        right = sized.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "lo", F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in bits))
+        return left.join(right, (left["sig"] == right["sig"]) & F.expr("la <> lb and (lb = lo or a < b)") & may_link(percent)).select("a", "b", "lb")
+
+    # Second round: of each other component, the class that shares most keys. It finds nearly all that is left to join.
+    best = between(linked).groupBy("a", "b", "lb").agg(F.count("*").alias("shared")).groupBy("a", "lb").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
+    second = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    linked = written(linked.union(verified(second, texts(second), k, percent)), "links")
+    release(docs.sparkSession)
+    # Last round: every pair that is still apart and not yet tried.
+    rest = between(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(second, ["a", "b"], "left_anti")
+    third = written(rest, "pairs")
+    links = written(linked.union(verified(third, texts(third), k, percent)), "links")
     release(docs.sparkSession)
     reach = components(links).join(classes.select(F.col("node"), "least_id"), "node")
     least = reach.groupBy("component").agg(F.min("least_id").alias("component_id"))
