@@ -101,6 +101,39 @@ def ctfidf(counts: DataFrame, clusters: DataFrame, top: int = 10) -> DataFrame:
     return g.withColumn("rank", r.cast("long")).where(F.col("rank") < top).select("cluster", "rank", "term", "score")
 
 
+def coherence(top: DataFrame, counts: DataFrame, group: str = "cluster") -> DataFrame:
+    """UMass coherence: mean of ln((D(a, b) + 1) / D(a)) over the pairs of a group's top terms, a ranked before b.
+
+    `top` holds a bounded number of ranked terms a group; D counts the documents of `counts` that have the terms.
+    """
+    seen = counts.join(top.select("term").distinct(), "term").select("row_id", "term").distinct()
+    df = seen.groupBy("term").agg(F.count("*").alias("df"))
+    first, second = (top.select(group, F.col("rank").alias(f"{p}_rank"), F.col("term").alias(p)) for p in ("a", "b"))
+    pairs = first.join(second, group).where("a_rank < b_rank").select(group, "a", "b")
+    both = pairs.select("a", "b").distinct().join(seen.withColumnRenamed("term", "a"), "a").join(seen.withColumnRenamed("term", "b"), ["row_id", "b"])
+    both = both.groupBy("a", "b").agg(F.count("*").alias("both"))
+    scored = pairs.join(both, ["a", "b"], "left").join(df.withColumnRenamed("term", "a"), "a")
+    return scored.groupBy(group).agg(F.count("*").alias("pairs"), F.round(F.avg(F.log((F.coalesce("both", F.lit(0)) + 1) / F.col("df"))), 6).alias("umass"))
+
+
+def inertia(clustered: DataFrame) -> DataFrame:
+    """(cluster, size, inertia) of rows with a cluster and a distance to its centroid."""
+    return clustered.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.sum(F.col("distance") * F.col("distance")), 6).alias("inertia"))
+
+
+def centroids(vectors: DataFrame, cluster: str = "label", column: str = "embedding") -> DataFrame:
+    """(cluster, center): the mean of each dimension over a cluster's vectors, summed partially before the shuffle."""
+    cells = vectors.select(F.col(cluster).alias("cluster"), F.posexplode(column).alias("at", "x")).groupBy("cluster", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("center"))
+
+
+def distances(vectors: DataFrame, centers: DataFrame, cluster: str = "label", column: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(id, cluster, distance): Euclidean distance of each vector to its cluster's centroid."""
+    apart = F.zip_with(column, "center", lambda x, y: (x - y) * (x - y))
+    rows = vectors.select(id_col, F.col(cluster).alias("cluster"), column).join(centers, "cluster")
+    return rows.select(id_col, "cluster", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda a, b: a + b)).alias("distance"))
+
+
 def kmeans(vectors: DataFrame, k: int, seed: int = 7, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(id, cluster, distance to the centroid)."""
     from pyspark.ml.clustering import KMeans

@@ -398,6 +398,28 @@ def ctfidf_terms(spark, d):
     return ml.ctfidf(ml.terms(docs), docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("cluster")))
 
 
+@query(
+    ORACLE["ctfidf_terms"].replace("\nSELECT cluster, rank, term, score FROM", ", t AS (SELECT cluster, rank, term FROM")
+    + """), d AS (SELECT term, count(*) AS df FROM c GROUP BY term), p AS (SELECT a.cluster, a.term AS a, b.term AS b FROM t a JOIN t b ON a.cluster = b.cluster AND a.rank < b.rank),
+q AS (SELECT a, b, count(*) AS n FROM (SELECT DISTINCT a, b FROM p) JOIN c x ON x.term = a JOIN c y ON y.term = b AND y.row_id = x.row_id GROUP BY a, b)
+SELECT cluster, count(*) AS pairs, round(avg(ln((coalesce(n, 0) + 1) / df)), 6) AS umass FROM p LEFT JOIN q USING (a, b) JOIN d ON d.term = p.a GROUP BY cluster"""
+)
+def topic_coherence(spark, d):
+    docs = table(spark, d, "documents")
+    counts = ml.terms(docs)
+    return ml.coherence(ml.ctfidf(counts, docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("cluster"))), counts)
+
+
+@query(
+    """WITH e AS (SELECT vec_id, label AS cluster, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT cluster, i, avg(x) AS c FROM e GROUP BY ALL), r AS (SELECT vec_id, cluster, sum((x - c) ** 2) AS d2 FROM e JOIN m USING (cluster, i) GROUP BY ALL)
+SELECT cluster, count(*) AS size, round(sum(d2), 6) AS inertia FROM r GROUP BY cluster"""
+)
+def cluster_inertia(spark, d):
+    v = table(spark, d, "embeddings")
+    return ml.inertia(ml.distances(v, ml.centroids(v)))
+
+
 @query()
 def kmeans_clusters(spark, d):
     return ml.kmeans(table(spark, d, "embeddings"), 10)
