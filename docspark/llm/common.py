@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,7 +131,7 @@ def pieces(data: bytes, limit: int = PIECE):
     yield data[at:]
 
 
-def doc_word_hashes(texts: list[str | None]):
+def doc_word_hashes(texts: Iterable[str | None]):
     """Word hashes of each text, lower-casing A-Z; texts are hashed together up to PIECE bytes."""
     group: list[bytes] = []
     size = 0

@@ -40,6 +40,8 @@ from .components import components
 _U = np.uint64
 #: Members of one query that are searched together.
 BLOCK = 512
+#: Shingles of one side of a tile of pairs.
+TILE = 1 << 17
 #: log2 of the bits of the bitmap of wanted ids.
 BITS = 24
 #: 64-bit words of the parity bitmap: its Hamming distance never exceeds |A ^ B|.
@@ -197,46 +199,52 @@ def packed(docs: DataFrame, bitmap: bytes) -> DataFrame:
     return docs.where("doc_id is not null").mapInPandas(run, "least_id long, packed binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of `pairs` that link; a is searched against the inverted lists of its b."""
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The (a, b) of `pairs` (group, a, b) that link; a is searched against the inverted lists of its b.
+
+    The classes of a group are dealt by hash into parts of about TILE shingles, and its pairs into the tiles
+    that two parts span. A text is sent once to each tile that asks for it, not with each pair.
+    """
 
     def run(batches):
-        query, sets, names = None, [], []
+        tile, sets, query, asked = None, {}, None, []
 
         def flush():
-            nonlocal sets, names
-            found = search(query[1], sets, percent) if sets else []
-            out = pd.DataFrame({"a": [query[0]] * len(found), "b": [names[i] for i, _ in found]}, dtype="int64")
-            sets, names = [], []
+            nonlocal asked
+            found = search(sets[query], [sets[b] for b in asked], percent) if asked else []
+            out = pd.DataFrame({"a": [query] * len(found), "b": [asked[i] for i, _ in found]}, dtype="int64")
+            asked = []
             return out
 
         for pdf in batches:
-            for a, b, words in zip(pdf["a"].tolist(), pdf["b"].tolist(), doc_word_hashes([zlib.decompress(x).decode("utf-8", "surrogatepass") for x in pdf["packed"].tolist()]), strict=True):
-                s = shingle_set(words, k)
-                if _node(s) != b:  # another text under the same id
+            sent = (zlib.decompress(x).decode("utf-8", "surrogatepass") for x in pdf["packed"].tolist() if x is not None)
+            words = doc_word_hashes(sent)
+            for *at, a, b in zip(*(pdf[c].tolist() for c in ("group", "i", "j", "a", "b")), strict=True):
+                if at != tile:
+                    yield flush()
+                    tile, sets, query = at, {}, None
+                if a == b:  # a text of the tile; all of them come before its pairs
+                    s = shingle_set(next(words), k)
+                    if _node(s) == a:  # else another text under the same id
+                        sets[a] = s
                     continue
-                if a == b:  # the query comes first in its block
-                    if sets:
-                        yield flush()
-                    query = (a, s)
-                else:
-                    names.append(b)
-                    sets.append(s)
-                    if len(sets) >= BLOCK:
-                        yield flush()
-        if sets:
-            yield flush()
-
-    # Members of one query are cut into blocks of about BLOCK, so a hot query is searched by many tasks.
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    pairs = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    blocks = pairs.select("a", "block").distinct().select("a", "block", F.col("a").alias("b"))
-    asked = pairs.select("a", "block", "b").unionByName(blocks)
+                if a != query or len(asked) >= BLOCK:
+                    yield flush()
+                    query = a
+                asked.append(b)
+        yield flush()
+
+    ends = pairs.select("group", F.explode(F.array("a", "b")).alias("node")).distinct()
+    parts = ends.join(classes.select("node", "n"), "node").groupBy("group").agg(F.ceil(F.sum("n") / TILE).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    tile = ["group", "i", "j"]
+    placed = pairs.join(parts, "group").select("group", F.least(part("a"), part("b")).alias("i"), F.greatest(part("a"), part("b")).alias("j"), "a", "b")
+    sent = placed.select(*tile, F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
     return (
-        asked.join(texts.withColumnRenamed("node", "b"), "b")
-        .repartition("a", "block")
-        .sortWithinPartitions("a", "block", F.col("a") != F.col("b"), "b")
-        .select("a", "b", "packed")
+        sent.select(*tile, F.col("node").alias("a"), F.col("node").alias("b"), "packed")
+        .unionByName(placed.withColumn("packed", F.lit(None).cast("binary")))
+        .repartition(*tile)
+        .sortWithinPartitions(*tile, F.col("a") != F.col("b"), "a", "b")
         .mapInPandas(run, "a long, b long")
     )
 
@@ -278,7 +286,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         return packed(docs, bitmap_of(wanted, "least_id", BITS)).join(wanted, "least_id").select("node", "packed")
 
     first = written(close(nearest, classes, percent), "pairs")
-    linked = written(verified(first, texts(first), k, percent), "links")
+    linked = written(verified(first.withColumn("group", F.col("a")), classes, texts(first), k, percent), "links")
     release(docs.sparkSession)
     lists = lists.select("sig", "node")
     label = lists.select("node").distinct().join(linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "node", "left").select("node", F.coalesce("to", "node").alias("label"))
@@ -291,7 +299,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     right = open_.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "lo", F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in bits))
     rest = left.join(right, (left["sig"] == right["sig"]) & F.expr("la <> lb and (lb = lo or a < b)") & may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = written(rest, "pairs")
-    links = written(linked.union(verified(second, texts(second), k, percent)), "links")
+    release(docs.sparkSession)
+    grouped = written(second.join(components(second).select(F.col("node").alias("a"), F.col("component").alias("group")), "a"), "grouped")
+    release(docs.sparkSession)
+    links = written(linked.union(verified(grouped, classes, texts(second), k, percent)), "links")
     release(docs.sparkSession)
     reach = components(links).join(classes.select(F.col("node"), "least_id"), "node")
     least = reach.groupBy("component").agg(F.min("least_id").alias("component_id"))
