@@ -8,8 +8,9 @@ A document is its set of distinct word shingles. Two documents link when
    D = floor((100 - percent) / (100 + percent) * 2 * hi) shingles are in one set only. Shingles
    are dealt by hash over K > D segments, so at least K - D segments are equal
    in both. Each equal, non-empty segment is a shared routing key; a class with so many empty
-   segments that this proves nothing also sends its empty segments. No link is missed, and
-   a passage shared by many documents makes no keys in common.
+   segments that this proves nothing also sends its empty segments. Where linked classes must share several
+   keys, each leaves out as many, less one, of its most frequent keys (prefix filter over one
+   order of all keys). No link is missed, and passages that many documents share bring few together.
 3. T-occurrence search within what was routed together (`divide_skip`): inverted
    lists over the members are split into long ones, which are probed by binary search, and short
    ones, which are merged with a heap; members that reach the needed overlap stay.
@@ -31,7 +32,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, column, doc_word_hashes, in_bitmap, mix, release, shingle_set, written
@@ -41,7 +42,7 @@ _U = np.uint64
 #: Members of one query that are searched together.
 BLOCK = 512
 #: Shingles of one side of a tile of pairs.
-TILE = 1 << 17
+TILE = 1 << 19
 #: log2 of the bits of the bitmap of wanted ids.
 BITS = 24
 #: 64-bit words of the parity bitmap: its Hamming distance never exceeds |A ^ B|.
@@ -144,8 +145,8 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
-def segments(s: np.ndarray, level: int, percent: int) -> np.ndarray:
-    """Routing keys of a set at a size level."""
+def segments(s: np.ndarray, level: int, percent: int) -> tuple[np.ndarray, int]:
+    """Routing keys of a set at a size level, and how many of them every linked set of that level shares."""
     hi = int((100 / percent) ** (level + 1)) + 1
     d = (100 - percent) * 2 * hi // (100 + percent)
     k = d + 1 + max(2, d // 16)
@@ -153,17 +154,18 @@ def segments(s: np.ndarray, level: int, percent: int) -> np.ndarray:
     sums, full = np.zeros(k, _U), np.zeros(k, bool)
     np.add.at(sums, part, mix(s + _U(977)))
     full[part] = True
-    ids = np.arange(k, dtype=_U) if k - int(full.sum()) >= k - d else np.flatnonzero(full).astype(_U)
-    return mix(sums[ids.astype(np.int64)] + mix(ids * _U(1000003) + _U(level))).view(np.int64)
+    shared = int(full.sum()) - d  # of k - d equal segments, as many may be empty as this set has empty ones
+    ids = np.arange(k, dtype=_U) if shared <= 0 else np.flatnonzero(full).astype(_U)
+    return mix(sums[ids.astype(np.int64)] + mix(ids * _U(1000003) + _U(level))).view(np.int64), max(1, shared)
 
 
 def routed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(sig, node): the routing keys of every class at its own size level and the next."""
+    """(sig, node, level, shared): the routing keys of every class at its own size level and the next."""
 
     def run(batches):
         seen: set[int] = set()
         for pdf in batches:
-            sig, node, rows = [], [], 0
+            out, rows = [], 0
             for words in doc_word_hashes(pdf["text"].tolist()):
                 s = shingle_set(words, k)
                 if not len(s) or (key := _node(s)) in seen:
@@ -173,16 +175,19 @@ def routed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 while (100 / percent) ** (level + 1) < len(s):
                     level += 1
                 for x in (level, level + 1):
-                    sig.append(segments(s, x, percent))
-                    node.append(np.full(len(sig[-1]), key))
-                    rows += len(sig[-1])
+                    sig, shared = segments(s, x, percent)
+                    out.append((sig, np.full(len(sig), key), np.full(len(sig), x), np.full(len(sig), shared)))
+                    rows += len(sig)
                 if rows > 200_000:
-                    yield pd.DataFrame({"sig": np.concatenate(sig), "node": np.concatenate(node)})
-                    sig, node, rows = [], [], 0
-            if sig:
-                yield pd.DataFrame({"sig": np.concatenate(sig), "node": np.concatenate(node)})
+                    yield table(out)
+                    out, rows = [], 0
+            if out:
+                yield table(out)
 
-    return docs.select("text").mapInPandas(run, "sig long, node long")
+    def table(parts):
+        return pd.DataFrame(dict(zip(("sig", "node", "level", "shared"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    return docs.select("text").mapInPandas(run, "sig long, node long, level int, shared int")
 
 
 def packed(docs: DataFrame, bitmap: bytes) -> DataFrame:
@@ -271,7 +276,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     classes = named.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in ("n", *bits)))
     keyed = routed(docs.where("doc_id is not null"), k, percent).repartition("sig")
     ends = keyed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    lists = written(keyed.join(ends.select("sig", "size"), "sig").distinct(), "lists")
+    # Linked classes share at least `shared` keys, so each may drop its shared - 1 most frequent ones: those of passages that many documents have.
+    place = F.row_number().over(Window.partitionBy("node", "level").orderBy(F.desc("size"), "sig"))
+    lists = keyed.join(ends.select("sig", "size"), "sig").distinct().withColumn("place", place).where("place >= shared")
+    lists = written(lists.select("sig", "node", "size"), "lists")
     release(docs.sparkSession)
     # The class that shares most keys with others heads its lists: of copies with edits, the one nearest to all.
     degree = lists.groupBy("node").agg(F.sum("size").alias("degree"))
