@@ -275,10 +275,12 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     bits = [f"b{i}" for i in range(BITMAP)]
     classes = named.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in ("n", *bits)))
     keyed = routed(docs.where("doc_id is not null"), k, percent).repartition("sig")
-    ends = keyed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    ends = keyed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"), F.max("level").alias("at"), F.max("shared").alias("most")).where("lo <> hi")
     # Linked classes share at least `shared` keys, so each may drop its shared - 1 most frequent ones: those of passages that many documents have.
     place = F.row_number().over(Window.partitionBy("node", "level").orderBy(F.desc("size"), "sig"))
-    lists = keyed.join(ends.select("sig", "size"), "sig").distinct().withColumn("place", place).where("place >= shared")
+    # `at` and `most` always hold; with them both uses of `keyed` read all its columns and so share one exchange.
+    lists = keyed.join(ends.drop("lo", "hi"), "sig").where("greatest(level, at) <=> at and greatest(shared, most) <=> most").select(*keyed.columns, "size").distinct()
+    lists = lists.withColumn("place", place).where("place >= shared")
     lists = written(lists.select("sig", "node", "size"), "lists")
     release(docs.sparkSession)
     # The class that shares most keys with others heads its lists: of copies with edits, the one nearest to all.
