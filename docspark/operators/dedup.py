@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
+import zlib
+from fractions import Fraction
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.functions.text import let
-
-BANDS, ROWS = 20, 5
-
-
-def shingles(text: Column, k: int = 5) -> Column:
-    """Distinct word shingles; fewer words make one, blank texts none."""
-
-    def cut(w: Column) -> Column:
-        n = F.size(w)
-        return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " ")))
-        )
-
-    return let(F.array_remove(F.split(F.lower(text), r"\s+"), ""), cut)
+#: Members of a group whose similarities are computed together.
+PART = 512
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,32 +21,52 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return h.join(g, "h", "left").select(id_col, F.col("g").alias("duplicate_group"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def band_keys(hashes: pd.Series) -> pd.Series:
-    """MinHash of each array of 64-bit hashes, as one key for each band of ROWS minima."""
-    rng = np.random.default_rng(1)
-    mult = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-
-    def one(h) -> list[int]:
-        x = np.asarray(h, np.int64).view(np.uint64)
-        least = np.array([((x * m + a) >> np.uint64(11)).min() for m, a in zip(mult, add, strict=True)])
-        return [int.from_bytes(hashlib.blake2b(least[b * ROWS : (b + 1) * ROWS].tobytes() + bytes([b]), digest_size=8).digest(), "little", signed=True) for b in range(BANDS)]
-
-    return hashes.map(one)
-
-
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, duplicate_group, similarity): MinHash bands bring texts together with the least id of their bucket; the exact
-    Jaccard of the shingle sets decides. Groups are stars around the least id, and no bucket makes all its pairs.
+    """(id, duplicate_group, similarity): texts link whose sets of k-word shingles have a Jaccard similarity of at least
+    `threshold`, in whole percent below 1; groups are the connected components of all links, under their least id.
+
+    The links come from the exact join of `llm/jaccard_join`; similarity is the Jaccard similarity to the least id of the
+    group, which may lie below the threshold where links chain. Rows of one id are one document; rows without id, and
+    texts without words, are in no group.
     """
-    s = docs.select(F.col(id_col).alias("id"), F.transform(shingles(F.col(text_col), k), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") > 0)
-    bands = s.select("id", F.explode(band_keys("s")).alias("band"))
-    head = bands.groupBy("band").agg(F.min("id").alias("head"))
-    pairs = bands.join(head, "band").where("id <> head").select("id", "head").distinct()
-    j = pairs.join(s, "id").join(s.select(F.col("id").alias("head"), F.col("s").alias("t")), "head")
-    inter = F.size(F.array_intersect("s", "t"))
-    j = j.withColumn("similarity", inter / (F.size("s") + F.size("t") - inter)).where(F.col("similarity") >= threshold)
-    best = j.groupBy("id").agg(F.min(F.struct("head", "similarity")).alias("b"))
-    heads = best.select(F.col("b.head").alias("id")).distinct().join(best.select("id"), "id", "left_anti").select("id", F.col("id").alias("duplicate_group"), F.lit(1.0).alias("similarity"))
-    return best.select("id", F.col("b.head").alias("duplicate_group"), F.round("b.similarity", 6).alias("similarity")).union(heads).withColumnRenamed("id", id_col)
+    from docspark.llm.common import bitmap_of, doc_word_hashes, shingle_set, written
+    from docspark.llm.components import components
+    from docspark.llm.jaccard_join import BITS, jaccard_join, packed
+
+    percent = 100 * Fraction(str(threshold))
+    if percent.denominator != 1 or not 0 < percent < 100:
+        raise ValueError(f"threshold must be in whole percent between 0 and 1: {threshold}")
+    kind = docs.schema[id_col].dataType
+    key = F.col(id_col).cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    d = docs.select(key.alias("doc_id"), F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where("doc_id is not null")
+    found = jaccard_join(d.select("doc_id", "text"), k, int(percent)).where("n_shingles > 0 and doc_id <> component_id")
+    member = components(found, "doc_id", "component_id").select(F.col("node").alias("doc_id"), "component")
+    named = d.select("doc_id", "id").distinct().join(member, "doc_id")
+    least = named.groupBy("component").agg(F.min("id").alias("head"), F.ceil(F.count("*") / PART).alias("parts"))
+    # A head's text goes once to each part of its group, so that no group is gathered in one place.
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")
+    placed = written(named.join(least, "component").select("doc_id", "id", "head", part), "placed")
+
+    def run(batches):
+        last, heads = None, []
+        for pdf in batches:
+            best = []
+            words = doc_word_hashes(zlib.decompress(x).decode("utf-8", "surrogatepass") for x in pdf["packed"].tolist())
+            for head, is_head, w in zip(pdf["head"].tolist(), pdf["is_head"].tolist(), words, strict=True):
+                x = shingle_set(w, k)
+                if head != last:
+                    last, heads = head, []
+                if is_head:  # these come before the other rows of the group
+                    heads.append(x)
+                inter = [len(np.intersect1d(x, y, assume_unique=True)) for y in heads]
+                best.append(max((i / max(1, len(x) + len(y) - i) for i, y in zip(inter, heads, strict=True)), default=0.0))
+            yield pdf[["id", "head"]].assign(similarity=best)
+
+    at = ["head", "part"]
+    texts = packed(d, bitmap_of(placed, "doc_id", BITS)).withColumnRenamed("least_id", "doc_id")
+    heads = placed.select(*at).distinct().join(placed.where("id = head").select("head", "doc_id"), "head")
+    sent = heads.select("doc_id", *at, F.col("head").alias("id"), F.lit(True).alias("is_head")).unionByName(placed.where("id <> head").select("doc_id", *at, "id", F.lit(False).alias("is_head")))
+    rows = sent.join(texts, "doc_id").select(*at, "id", "is_head", "packed")
+    name = kind.simpleString()
+    scored = rows.repartition(*at).sortWithinPartitions(*at, F.desc("is_head")).mapInPandas(run, f"id {name}, head {name}, similarity double")
+    return scored.groupBy("id", "head").agg(F.round(F.max("similarity"), 6).alias("similarity")).select(F.col("id").alias(id_col), F.col("head").alias("duplicate_group"), "similarity")

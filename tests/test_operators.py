@@ -84,6 +84,28 @@ def test_near_duplicates(spark):
     assert {r.doc_id: r.duplicate_group for r in dedup.exact_groups(docs).collect()} == {1: 1, 2: None, 3: None, 4: None, 5: 1}
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """Chains of links, and a bucket's least id unlike the others that share the bucket."""
+    words = [f"w{i}" for i in range(300)]
+    texts = {20 + i: " ".join(words[8 * i : 8 * i + 150]) for i in range(12)}
+    shared = " ".join(f"s{i}" for i in range(70))
+    texts |= {1: shared + " " + " ".join(f"a{i}" for i in range(40))}
+    texts |= {2 + j: shared + " " + " ".join(f"b{i}" for i in range(40)) + f" end{j}" for j in range(4)}
+    texts |= {10: "Too  SHORT", 11: "too short", 12: "", 13: None}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in texts.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    group = {i: i for i in texts}
+    for _ in texts:
+        for a in texts:
+            group[a] = min([group[b] for b in texts if like(a, b) >= 0.8] + [group[a]])
+    want = {i: (g, round(like(i, g), 6)) for i, g in group.items() if list(group.values()).count(g) > 1}
+    assert want[31][0] == 20 and want[5][0] == 2 and 1 not in want and want[11] == (10, 1.0)
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame(list(texts.items()) * 2 + [(None, texts[2])], "doc_id long, text string").withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 2, "0") if kind == "string" else F.col("doc_id"))
+        got = [(int(r.doc_id), int(r.duplicate_group), r.similarity) for r in dedup.near_duplicates(docs).collect()]
+        assert sorted(got) == sorted((i, *w) for i, w in want.items())
+
+
 def test_retrieval_metrics_of_empty_and_unlabelled(spark):
     hits = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (3, 9, 1)], "query_id long, id long, rank long")
     gold = spark.createDataFrame([(1, 8), (2, 5)], "query_id long, id long")
