@@ -11,13 +11,17 @@ substituted. Masks are applied at every position of both sides:
    hit counts when some `span` words in a row (the whole item where that is shorter) agree in
    at least `need` of their positions.
 
-Null or empty texts match nothing, and neither do items of fewer words than the shortest
-mask reads across. Items of equal words count as one, under the least item_id. Rows with null ids are
-ignored; repeated rows give one row. Extra columns are ignored.
+The masks are chosen by enumeration so that every placing of the substitutions that a full window may have
+leaves one of them whole. Items of fewer words than a window are sought by a solid run of words, as long as
+some run between their substitutions must be; without such items these runs cost nothing. So every overlap without
+inserted or dropped words that step 3 accepts is found. Null or empty texts match nothing. Items of equal words
+count as one, under the least item_id. Rows with null ids are ignored; repeated rows give one row. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,9 +30,8 @@ from pyspark.sql import functions as F
 from .common import column
 
 GAP = r"[^\p{L}\p{N}]+"
-#: Positions that each mask reads; the last is solid and short.
-MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 3, 4, 5, 8, 9), (0, 1, 2, 3, 4, 5))
-SHARED = tuple(o for o in MASKS[0] if all(o in m for m in MASKS))
+#: Positions that each mask reads: together they hit every window of SPAN words of which NEED agree.
+MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 3, 4, 5, 8, 9), (0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 1, 4, 9, 11, 12), (0, 1, 4, 9, 10, 11))
 #: log2 of the bits of each bitmap. Fuller bitmaps let more rows reach the join, no fewer.
 BITS = 18
 SPAN, NEED = 14, 0.75
@@ -52,12 +55,18 @@ def _has(bits: Column, x: Column) -> Column:
     return F.getbit(F.get(bits, slot), x.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _seed(h: Column, i: Column, m: int) -> Column:
-    return F.xxhash64(F.lit(m), *(F.get(h, i + F.lit(o)) for o in MASKS[m]))
+def solid(words: int, need: float) -> tuple[int, ...]:
+    """The longest run that agrees wherever the substitutions in an accepted window of `words` words fall."""
+    same = math.ceil(need * words)
+    return tuple(range(max(1, -(-same // (words - same + 1)))))
 
 
-def _positions(h: Column, m: int) -> Column:
-    last = F.size(h) - 1 - MASKS[m][-1]
+def _seed(h: Column, i: Column, mask: tuple[int, ...]) -> Column:
+    return F.xxhash64(F.lit(",".join(map(str, mask))), *(F.get(h, i + F.lit(o)) for o in mask))
+
+
+def _positions(h: Column, mask: tuple[int, ...]) -> Column:
+    last = F.size(h) - 1 - mask[-1]
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
@@ -68,32 +77,39 @@ def _around(h: Column, at: Column, reach: int) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, need: float = NEED) -> DataFrame:
     """(doc_id, item_id, matched, compared) of documents that overlap benchmark items."""
-    reach = span + MASKS[0][-1]
+    masks = MASKS if (span, need) == (SPAN, NEED) else (solid(span, need),)
+    shared = tuple(o for o in masks[0] if all(o in m for m in masks))
+    reach = span + max(m[-1] for m in masks)
     items = _hashed(benchmark, "item_id").groupBy("h").agg(F.min("item_id").alias("item_id"))
 
-    def made(m: int) -> Column:
-        return F.transform(_positions(F.col("h"), m), lambda i: F.struct(i.alias("at"), _seed(F.col("h"), i, m).alias("x")))
+    lengths = sorted(r.n for r in items.select(F.size("h").alias("n")).where(f"n > 0 and n < {span}").distinct().collect())  # fewer than span rows
+    runs = {w: solid(w, need) for w in lengths}
+    short = sorted(set(runs.values()))
+
+    def made(mask: tuple[int, ...], sizes: Column) -> Column:
+        return F.when(sizes, F.transform(_positions(F.col("h"), mask), lambda i: F.struct(i.alias("at"), _seed(F.col("h"), i, mask).alias("x"))))
 
-    seeds = items.select("item_id", "h", F.explode(F.flatten(F.array(*(made(m) for m in range(len(MASKS)))))).alias("s")).select(
+    by_mask = [made(m, F.size("h") >= span) for m in masks] + [made(m, F.size("h").isin([w for w in lengths if runs[w] == m])) for m in short]
+    seeds = items.select("item_id", "h", F.explode(F.flatten(F.filter(F.array(*by_mask), lambda x: x.isNotNull()))).alias("s")).select(
         "item_id", F.col("s.x").alias("seed"), F.least(F.size("h"), F.lit(span)).alias("w"), F.least("s.at", F.lit(reach)).alias("i_at"), _around(F.col("h"), F.col("s.at"), reach).alias("i_ctx")
     )
     known, likely = _bitmap(items.select(F.explode("h").alias("x"))), _bitmap(seeds.select(F.col("seed").alias("x")))
     d = _hashed(docs, "doc_id").withColumn("known", F.transform("h", lambda x: _has(known, x)))
 
     flag = lambda i, o: F.get(F.col("known"), i + F.lit(o) if o else i)
-    # All masks read the positions in SHARED, so these are tested once; positions past the end are null and fail.
-    both = lambda i, offsets: reduce(lambda x, y: x & y, (flag(i, o) for o in offsets))
+    # All masks of full windows read the positions in `shared`, so these are tested once; positions past the end are null and fail.
+    both = lambda i, offsets: reduce(lambda x, y: x & y, (flag(i, o) for o in offsets), F.lit(True))
     at_all = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("from", F.filter(at_all, lambda i: both(i, SHARED)))
+    d = d.withColumn("from", F.filter(at_all, lambda i: both(i, shared)))
 
-    def passing(m: int) -> Column:
-        rest = [o for o in MASKS[m] if o not in SHARED]
+    def passing(mask: tuple[int, ...], among: Column, tested: tuple[int, ...]) -> Column:
+        rest = [o for o in mask if o not in tested]
         return F.transform(
-            F.filter("from", lambda i: both(i, rest) & _has(likely, _seed(F.col("h"), i, m))),
-            lambda i: F.struct(_seed(F.col("h"), i, m).alias("seed"), F.least(i, F.lit(reach)).alias("at"), _around(F.col("h"), i, reach).alias("ctx")),
+            F.filter(among, lambda i: both(i, rest) & _has(likely, _seed(F.col("h"), i, mask))),
+            lambda i: F.struct(_seed(F.col("h"), i, mask).alias("seed"), F.least(i, F.lit(reach)).alias("at"), _around(F.col("h"), i, reach).alias("ctx")),
         )
 
-    hits = d.select("doc_id", F.explode(F.flatten(F.array(*(passing(m) for m in range(len(MASKS)))))).alias("s")).select("doc_id", "s.*").join(seeds, "seed")
+    hits = d.select("doc_id", F.explode(F.flatten(F.array(*(passing(m, F.col("from"), shared) for m in masks), *(passing(m, at_all, ()) for m in short)))).alias("s")).select("doc_id", "s.*").join(seeds, "seed")
     # Lay the two contexts over each other: `before` words ahead of the hit on both sides, then all that both have.
     before = F.least("at", "i_at")
     lay = lambda c, at: F.slice(c, F.col(at) - before + 1, F.greatest(F.size(c) - F.col(at) + before, F.lit(0)))

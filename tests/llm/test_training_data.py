@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -163,6 +164,24 @@ def test_decontamination_of_whole_items(spark, documents):
     assert {r.doc_id for r in documents.collect() if any(i in " ".join(words(r.text)) for i in items)} <= got
 
 
+def test_decontamination_finds_every_accepted_substitution(spark):
+    """All placings of the most substitutions that the rule accepts, in items of 1 to 14 words and a lone passage of 14."""
+    rng = np.random.default_rng(3)
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in (*range(1, 15), 40)}
+    docs, want = [], set()
+    for n, item in items.items():
+        part = item[:14]
+        places = list(itertools.combinations(range(len(part)), len(part) // 4))
+        for gone in places:
+            docs.append((len(docs), " ".join(["before"] * 15 + [f"x{rng.integers(1e9)}" if j in gone else w for j, w in enumerate(part)] + ["after"] * 15)))
+            want.add((len(docs) - 1, n))
+        if len(part) > 1:  # one more is too many
+            docs.append((len(docs), " ".join(["before"] * 15 + part[len(part) // 4 + 1 :] + ["after"] * 15)))
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], "item_id long, text string")
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_pii(spark, odd):
     text = "mail ann.b7@mail9.example.com, +1 (017) 555-7713, card 4485275742308327, ip 97.51.17.173, on 2021-02-28; not 999.1.2.3, 2021-02-30"
     d = spark.createDataFrame([(1, text), (2, "again 97.51.17.173 and ann.b7@mail9.example.com"), (3, "clean text 12"), (4, None)], "doc_id long, text string")
