@@ -32,9 +32,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms, and the count from which a term counts as frequent.
 BEGINNINGS, MANY = (5, 7), 3
 PER_LABEL = 4000
-VOCABULARY = 2000
-#: Least chi-squared of a term of the vocabulary, and least number and share of label-1 examples with it.
-LEAST_CHI2, LEAST_SEEN, LEAST_SHARE = 20.0, 3, 0.01
+#: Least chi-squared of a term of the vocabulary, and least number of label-1 examples with it.
+LEAST_CHI2, LEAST_SEEN = 20.0, 3
 K = 25
 BLOCK = 512
 
@@ -54,7 +53,7 @@ def term_counts(text: str | None, stems=None) -> dict[str, int]:
 
 
 def choose_vocabulary(examples: list[tuple[str, int]]) -> list[str]:
-    """Words more frequent among label-1 examples than chance allows, at most VOCABULARY of them."""
+    """Words more frequent among label-1 examples than chance allows; the bar does not rise with their number."""
     n1 = sum(y for _, y in examples)
     n0 = len(examples) - n1
     with1, with0 = Counter(), Counter()
@@ -63,13 +62,13 @@ def choose_vocabulary(examples: list[tuple[str, int]]) -> list[str]:
     scored = []
     for word, a in with1.items():
         b = with0[word]
-        if a < max(LEAST_SEEN, LEAST_SHARE * n1) or a * n0 <= b * n1:
+        if a < LEAST_SEEN or a * n0 <= b * n1:
             continue
         rest = n0 + n1 - a - b
         chi2 = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / max(1, (a + b) * n1 * n0 * rest)
         if chi2 >= LEAST_CHI2:
             scored.append((-chi2, word))
-    return [w for _, w in sorted(scored)[:VOCABULARY]]
+    return [w for _, w in sorted(scored)]
 
 
 class BlockMaxIndex:
@@ -185,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int =
                 seen.update(w for w in term_counts(text, stems) if w in known)
         yield pd.DataFrame({"word": [None, *seen], "n": [n, *seen.values()]})
 
-    rows = d.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most VOCABULARY + 1 rows
+    rows = d.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each term of the vocabulary, which the bounded sample bounds
     seen = {r.word: r.n for r in rows}
     return Model(chosen, vocabulary, seen, seen.get(None, 0))
 

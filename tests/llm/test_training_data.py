@@ -128,6 +128,17 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity.score(odd, empty).collect()} == {0.0}
 
 
+def test_toxicity_keeps_rare_terms():
+    """A term in 25 of 3,000 toxic examples and 2,500 terms that each have as many keep their place."""
+    spread = ["q" + "".join("abcdefghijklmnopqrstuvwxyz"[i // 26**j % 26] for j in range(3)) for i in range(2500)]
+    examples = [("plain " + ("vile " if i < 25 else "") + " ".join(spread[(i * 25 + j) % 2500] for j in range(25)), 1) for i in range(3000)]
+    examples += [(f"plain words {i}", 0) for i in range(3000)]
+    got = set(toxicity.choose_vocabulary(examples))
+    assert {"vile", *spread} <= got and "plain" not in got
+    model = toxicity.Model([(i, t, y) for i, (t, y) in enumerate(examples[:40] + examples[3000:3300])], sorted(got), {}, 340)
+    assert model.score(toxicity.term_counts("a vile remark", model.stems))[0] > model.base
+
+
 def test_substring_dedup_resists_shifts(spark, odd):
     rng = np.random.default_rng(5)
     words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
