@@ -4,9 +4,12 @@ Filters of several widths run over the bytes, are max-pooled over windows of WIN
 softmax; the network is trained in numpy on labelled text. At prediction every window of the whole text
 is scored, and a document's probabilities are the means over its windows, weighted by their bytes.
 
-Training reads at most about PER_LANG documents of each language (chosen by a hash of the text)
-and WINDOWS windows of each. Null texts and texts without a letter get `und` and score 0, and so does
-everything if there is no labelled text. Every input row gives one row; null ids stay null.
+Training reads at most about PER_LANG documents of each of the LANGS most frequent languages (chosen by a hash of
+text and id) and WINDOWS windows of each. A text's prediction depends on that text alone: filters at its end read blanks.
+Null texts and texts without a letter get `und` and score 0, and so does
+everything if there is no labelled text. Ties go to the language that sorts first. Long texts are read whole, SLAB
+bytes at a time. Every input row gives one row, repeated ones too; null ids stay null; other columns are ignored, whatever
+their names. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 10
 PER_LANG = 1500
+#: Languages that are learned at most: the most frequent ones.
+LANGS = 500
 WINDOWS = 4
 #: Bytes of text whose filter outputs are held at once.
 SLAB = 1 << 18
@@ -84,8 +89,8 @@ class ByteNet:
         t2, t3, t4 = self.tables
         return [two(t2[0], t2[1]), two(t3[0], t3[1]), t3[2], two(t4[0], t4[1]), two(t4[2], t4[3])]
 
-    def window_probabilities(self, data: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
-        """data: WINDOW * n + pad bytes -> (n, languages)."""
+    def window_probabilities(self, data: np.ndarray, pairs: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
+        """data: WINDOW * n + pad bytes -> (n, languages); `ends`: where texts end, after which filters read blanks."""
         n = (len(data) - _PAD) // WINDOW
         x = data.astype(np.intp)
         pair = x[:-1] * 256 + x[1:]
@@ -95,6 +100,11 @@ class ByteNet:
         z3 += pairs[2].take(x[2 : 2 + size], 0)
         z4 = pairs[3].take(pair[:size], 0)
         z4 += pairs[4].take(pair[2 : 2 + size], 0)
+        last = np.full((len(ends), 2 * _PAD), 0x20, np.intp)
+        last[:, :_PAD] = x[ends[:, None] - _PAD + np.arange(_PAD)]
+        for z, t in zip((z2, z3, z4), self.tables, strict=True):
+            for p in range(_PAD):
+                z[ends - _PAD + p] = sum(t[k][last[:, p + k]] for k in range(len(t)))
         pooled = np.concatenate([z.reshape(n, WINDOW, FILTERS).max(1) for z in (z2, z3, z4)], 1)
         return _softmax(np.maximum(pooled, 0) @ self.out + self.bias)
 
@@ -116,8 +126,7 @@ def predict(net: ByteNet, pairs: list[np.ndarray], texts: list[bytes]) -> np.nda
 
     def flush():
         if held:
-            # Frames follow each other, so filters at the end of one frame read blanks.
-            p = net.window_probabilities(np.frombuffer(b"".join(held) + b" " * _PAD, np.uint8), pairs)
+            p = net.window_probabilities(np.frombuffer(b"".join(held) + b" " * _PAD, np.uint8), pairs, np.cumsum([len(x) for x in held]))
             np.add.at(total, [i for i, _ in group], p * np.array([w for _, w in group])[:, None])
             held.clear()
             group.clear()
@@ -136,18 +145,20 @@ def predict(net: ByteNet, pairs: list[np.ndarray], texts: list[bytes]) -> np.nda
     return total / np.maximum(total.sum(1, keepdims=True), 1e-12)
 
 
-def sample_by(df: DataFrame, label: str, per_label: int, keep: list[str], labels_at_most: int = 500, by: str = "text") -> list:
-    """About `per_label` rows of each value of `label`, chosen by a hash of `by`; bounded by their product."""
-    counts = df.groupBy(label).count()
+def sample_by(df: DataFrame, label: str, per_label: int, keep: list[str], by: list[str], labels_at_most: int = LANGS) -> list:
+    """About `per_label` rows of each of the most frequent values of `label`, chosen by a hash of the columns `by`, so that
+    reruns agree and copies are chosen each on its own. At most twice per_label * labels_at_most rows come to the driver."""
+    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels_at_most)
     share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count"))
-    chosen = df.join(F.broadcast(counts.limit(labels_at_most)), label).where(F.pmod(F.xxhash64(by, F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
-    return sorted(map(tuple, chosen.select(*keep).limit(2 * per_label * labels_at_most).collect()), key=repr)
+    chosen = df.join(F.broadcast(counts), label).withColumn("__at", F.xxhash64(*by, F.lit(3))).where(F.pmod("__at", F.lit(1_000_000)) < share * 1_000_000)
+    return sorted(map(tuple, chosen.orderBy("__at").select(*keep).limit(2 * per_label * labels_at_most).collect()), key=repr)
 
 
 def fit(docs: DataFrame, learn_from: Column, per_lang: int = PER_LANG) -> ByteNet | None:
-    d = docs.select(column(docs, "text", "string").alias("text"), column(docs, "lang", "string").alias("lang")).where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    """learn_from: a condition on doc_id."""
+    d = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"), column(docs, "lang", "string").alias("lang")).where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull())
     cut = [F.substring("text", (F.greatest(F.length("text") - WINDOW, F.lit(0)) * F.lit(j / (WINDOWS - 1))).cast("int") + 1, F.lit(WINDOW + _PAD)).alias(f"w{j}") for j in range(WINDOWS)]
-    rows = sample_by(d.select("lang", "text", *cut), "lang", per_lang, keep=["lang", *(f"w{j}" for j in range(WINDOWS))])
+    rows = sample_by(d.select("doc_id", "lang", "text", *cut), "lang", per_lang, ["lang", *(f"w{j}" for j in range(WINDOWS))], ["text", "doc_id"])
     data, truth = [], []
     langs = sorted({r[0] for r in rows})
     for lang, *windows in rows:
@@ -172,6 +183,8 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 best = p.argmax(1)
                 lang[named] = [net.langs[b] for b in best]
                 score[named] = p[np.arange(len(best)), best]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": lang, "score": score.clip(0, 1)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score.clip(0, 1)})
 
-    return docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    # Ids pass as text: beside nulls pandas would make them floats.
+    d = docs.select(column(docs, "doc_id", "long").cast("string").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    return d.mapInPandas(run, "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
