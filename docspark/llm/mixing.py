@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, column, written
+from docspark.plans.storage import written
+
+from .common import WORD, column
 
 WEIGHTS = (3, 1, 2)
 #: Documents in a range of keys, on average.

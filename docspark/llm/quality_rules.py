@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, column, word_array, written
+from docspark.plans.storage import written
+
+from .common import WORD, column, word_array
 
 RULES = ("length", "word_length", "symbols", "repetition", "shouting")
 ROUNDS = 25
