@@ -4,8 +4,9 @@ Words are runs of letters and digits, lower-cased. A mask reads some positions o
 ignores the others, so a window still matches after the word at an ignored position was
 substituted. Masks are applied at every position of both sides:
 
-1. The benchmark's words and seeds set bits of bitmaps of fixed size; only positions of a document
-   that pass them are exploded, so the large side makes rows only for likely hits.
+1. The benchmark's pairs of neighbouring words and its seeds set bits of bitmaps, sized by their number and 512 KB at most;
+   all masks read two neighbours first. Only positions of a document that pass both are exploded, so the
+   large side makes rows only for likely hits.
 2. These rows join the benchmark's seeds on the hash; Spark broadcasts the seeds if they are small.
 3. A hit fixes an alignment. The hashes of the words around the hit travel with it on both sides; the
    hit counts when some `span` words in a row (the whole item where that is shorter) agree in
@@ -15,25 +16,26 @@ The masks are chosen by enumeration so that every placing of the substitutions t
 leaves one of them whole. Items of fewer words than a window are sought by a solid run of words, as long as
 some run between their substitutions must be; without such items these runs cost nothing. So every overlap without
 inserted or dropped words that step 3 accepts is found. Null or empty texts match nothing. Items of equal words
-count as one, under the least item_id. Rows with null ids are ignored; repeated rows give one row. Extra columns are
-ignored.
+count as one, under the least item_id. Rows with null ids are ignored; repeated rows give one row, and the rows of one id are one
+document. Texts may have any length. Extra columns are ignored, whatever their names. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.plans.storage import written
+
 from .common import column
 
 GAP = r"[^\p{L}\p{N}]+"
 #: Positions that each mask reads: together they hit every window of SPAN words of which NEED agree.
 MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 3, 4, 5, 8, 9), (0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 1, 4, 9, 11, 12), (0, 1, 4, 9, 10, 11))
-#: log2 of the bits of each bitmap. Fuller bitmaps let more rows reach the join, no fewer.
-BITS = 18
+#: log2 of the bits of a bitmap, at least and at most. Fuller bitmaps let more rows reach the join, no fewer.
+BITS = (14, 22)
 SPAN, NEED = 14, 0.75
 
 
@@ -43,16 +45,23 @@ def _hashed(df: DataFrame, key: str) -> DataFrame:
     return d.select(key, F.transform(F.array_remove(F.split("text", GAP), ""), lambda w: F.xxhash64(w)).alias("h"))
 
 
-def _bitmap(hashes: DataFrame) -> Column:
-    """The column x of `hashes` as a bitmap: a constant of 2**(BITS - 6) longs, whatever the input."""
-    slot = F.shiftright(F.col("x").bitwiseAND(F.lit((1 << BITS) - 1)), 6)
+def _bitmap(hashes: DataFrame) -> tuple[Column, int]:
+    """The column x of `hashes` as a bitmap (a constant of 2**(bits - 6) longs) and its bits."""
+    bits = min(BITS[1], max(BITS[0], math.ceil(math.log2(32 * hashes.count() + 1))))
+    slot = F.shiftright(F.col("x").bitwiseAND(F.lit((1 << bits) - 1)), 6)
     words = dict(map(tuple, hashes.groupBy(slot.cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("b")).collect()))
-    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << (BITS - 6)))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << (bits - 6)))), ",").cast("array<bigint>"), bits
+
+
+def _has(bitmap: tuple[Column, int], x: Column) -> Column:
+    longs, bits = bitmap
+    slot = F.shiftright(x.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int")
+    return F.getbit(F.get(longs, slot), x.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _has(bits: Column, x: Column) -> Column:
-    slot = F.shiftright(x.bitwiseAND(F.lit((1 << BITS) - 1)), 6).cast("int")
-    return F.getbit(F.get(bits, slot), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+def _pair(h: Column, i: Column) -> Column:
+    """A hash of the words at i and i + 1."""
+    return F.shiftleft(F.get(h, i), 1).bitwiseXOR(F.get(h, i + F.lit(1)))
 
 
 def solid(words: int, need: float) -> tuple[int, ...]:
@@ -78,7 +87,6 @@ def _around(h: Column, at: Column, reach: int) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, need: float = NEED) -> DataFrame:
     """(doc_id, item_id, matched, compared) of documents that overlap benchmark items."""
     masks = MASKS if (span, need) == (SPAN, NEED) else (solid(span, need),)
-    shared = tuple(o for o in masks[0] if all(o in m for m in masks))
     reach = span + max(m[-1] for m in masks)
     items = _hashed(benchmark, "item_id").groupBy("h").agg(F.min("item_id").alias("item_id"))
 
@@ -93,23 +101,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, need:
     seeds = items.select("item_id", "h", F.explode(F.flatten(F.filter(F.array(*by_mask), lambda x: x.isNotNull()))).alias("s")).select(
         "item_id", F.col("s.x").alias("seed"), F.least(F.size("h"), F.lit(span)).alias("w"), F.least("s.at", F.lit(reach)).alias("i_at"), _around(F.col("h"), F.col("s.at"), reach).alias("i_ctx")
     )
-    known, likely = _bitmap(items.select(F.explode("h").alias("x"))), _bitmap(seeds.select(F.col("seed").alias("x")))
-    d = _hashed(docs, "doc_id").withColumn("known", F.transform("h", lambda x: _has(known, x)))
-
-    flag = lambda i, o: F.get(F.col("known"), i + F.lit(o) if o else i)
-    # All masks of full windows read the positions in `shared`, so these are tested once; positions past the end are null and fail.
-    both = lambda i, offsets: reduce(lambda x, y: x & y, (flag(i, o) for o in offsets), F.lit(True))
-    at_all = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("from", F.filter(at_all, lambda i: both(i, shared)))
-
-    def passing(mask: tuple[int, ...], among: Column, tested: tuple[int, ...]) -> Column:
-        rest = [o for o in mask if o not in tested]
+    seeds = written(seeds, "seeds")
+    likely = _bitmap(seeds.select(F.col("seed").alias("x")).distinct())
+    upto = lambda n: F.when(n >= 0, F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    pairs = _bitmap(items.select(F.explode(F.transform(upto(F.size("h") - 2), lambda i: _pair(F.col("h"), i))).alias("x")).distinct())
+    d = _hashed(docs, "doc_id")
+    d = d.withColumn("from", F.filter(upto(F.size("h") - 2), lambda i: _has(pairs, _pair(F.col("h"), i))))
+
+    def passing(mask: tuple[int, ...]) -> Column:
+        among = F.col("from") if mask[:2] == (0, 1) else upto(F.size("h") - 1 - mask[-1])
+        last = F.size("h") - mask[-1]
         return F.transform(
-            F.filter(among, lambda i: both(i, rest) & _has(likely, _seed(F.col("h"), i, mask))),
+            F.filter(among, lambda i: (i < last) & _has(likely, _seed(F.col("h"), i, mask))),
             lambda i: F.struct(_seed(F.col("h"), i, mask).alias("seed"), F.least(i, F.lit(reach)).alias("at"), _around(F.col("h"), i, reach).alias("ctx")),
         )
 
-    hits = d.select("doc_id", F.explode(F.flatten(F.array(*(passing(m, F.col("from"), shared) for m in masks), *(passing(m, at_all, ()) for m in short)))).alias("s")).select("doc_id", "s.*").join(seeds, "seed")
+    hits = d.select("doc_id", F.explode(F.flatten(F.array(*(passing(m) for m in dict.fromkeys((*masks, *short)))))).alias("s")).select("doc_id", "s.*").join(seeds, "seed")
     # Lay the two contexts over each other: `before` words ahead of the hit on both sides, then all that both have.
     before = F.least("at", "i_at")
     lay = lambda c, at: F.slice(c, F.col(at) - before + 1, F.greatest(F.size(c) - F.col(at) + before, F.lit(0)))
