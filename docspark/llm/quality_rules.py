@@ -1,13 +1,15 @@
 """Quality rules as weak supervision (operator 9): rules vote or abstain, EM weighs them.
 
-Counts come from whole texts with built-in functions only. Five rules vote bad (0), good
-(2) or abstain (1). Documents are counted by vote pattern (at most 3**5 rows, whatever the corpus),
-expectation-maximisation over these counts estimates how often each rule gives each vote for
-good and for bad documents, and a document is kept when its posterior probability of
-being good is at least `threshold` and the base rule does not reject it.
-
-Null and empty texts have no words and are rejected. Every input row gives one row; other
-columns are ignored.
+Counts come from whole texts with built-in functions only. Seven rules vote bad (0), good
+(2) or abstain (1); some read the same faults, so their agreement tells how far each is to be trusted. Documents are
+counted by vote pattern (at most 3**7 rows, whatever the corpus). Expectation-maximisation over these counts estimates the share of good
+documents and, for each rule, how often it votes bad on bad and on good documents when it votes; a rule is held to be no
+worse than chance, each rate has one pseudo-document of either vote, and of several starts the likeliest end counts. A document is kept
+when its posterior probability of being good is at least `threshold` and the base rule does not reject it. A single
+bad vote of a rule that seldom agrees with the others does not reject.
+
+Null and empty texts have no words and are rejected by the base rule. Every input row gives one row, repeated ones too; null ids stay null;
+texts may have any length; other columns are ignored, whatever their names. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ from docspark.plans.storage import written
 
 from .common import WORD, column, word_array
 
-RULES = ("length", "word_length", "symbols", "repetition", "shouting")
-ROUNDS = 25
-#: Prior of the estimates: a rule seldom votes bad on a good document, and on some bad ones. Pairs of
-#: (rate of bad votes, weight as a multiple of the documents).
-GOOD_PRIOR, BAD_PRIOR = (0.005, 5.0), (0.2, 0.05)
+RULES = ("length", "word_length", "symbols", "repetition", "shouting", "marks", "variety")
+ROUNDS = 50
 WINDOW = 8
+#: A character that is no letter, digit or usual punctuation.
+ODD_MARK = r"[^\p{L}\p{M}\p{N}_.,;:'\"()\-\u2010-\u2015\u2018-\u201f\u2026\u00ab\u00bb?\u00bf\u00a1]"
 
 
 def _repeat_words(windows: Column) -> Column:
@@ -71,6 +72,8 @@ def features(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         only(r"\p{Lu}").alias("n_capitals"),
         only("!").alias("n_exclaims"),
+        F.size(F.filter("words", lambda w: w.rlike(ODD_MARK))).cast("long").alias("n_marked"),
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         *["row"] * whole_rows,
     )
 
@@ -84,48 +87,52 @@ def votes() -> Column:
 
     length = F.col("word_chars") / words
     return F.array(
-        vote(F.col("n_words") < 20, F.col("n_words") >= 40),
+        vote(F.col("n_words") < 30, F.col("n_words") >= 60),
         vote((length < 2.5) | (length > 14), length.between(3.5, 10)),
         vote(10 * F.col("n_symbols") > words, 50 * F.col("n_symbols") <= words),
         vote((100 * F.col("n_repeat_words") > 25 * words) | ((2 * F.col("n_dup_lines") > F.col("n_lines")) & (F.col("n_dup_lines") >= 3)), 100 * F.col("n_repeat_words") <= 5 * words),
         vote((2 * F.col("n_capitals") > F.col("word_chars")) | (10 * F.col("n_exclaims") > 3 * words), 4 * F.col("n_capitals") <= F.col("word_chars")),
+        vote(4 * F.col("n_marked") > words, 20 * F.col("n_marked") <= words),
+        vote((F.col("n_words") >= 20) & (4 * F.col("n_distinct") < words), (2 * F.col("n_distinct") >= words) | ((F.col("n_words") >= 400) & (4 * F.col("n_distinct") >= words))),
     )
 
 
-def fitted(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row (prior, weights): log odds of good, and of each vote of each rule.
+def fitted(seen: DataFrame, rounds: int = ROUNDS, rules: int = len(RULES)) -> DataFrame:
+    """One row (likelihood, prior, rules): log odds of good, and for each rule its rates and the log odds of its votes.
 
-    seen(votes): the patterns, at most 3**5, go with their counts into one array, and all rounds of
-    expectation-maximisation run in one expression over it. The estimates are those of
-    greatest posterior under GOOD_PRIOR and BAD_PRIOR.
+    seen(votes): the patterns, at most 3**rules, go with their counts into one array, and all rounds of
+    expectation-maximisation run in one expression over it.
     """
-    n = len(RULES)
     one = seen.groupBy("votes").agg(F.count("*").cast("double").alias("c")).agg(F.array_sort(F.collect_list(F.struct("votes", "c"))).alias("p"))
-    one = one.withColumn("total", F.expr("aggregate(p, 1D, (a, x) -> a + x.c)"))
-    # Share of each vote among those that are not bad.
-    marginal = "aggregate(p, 1D, (a, x) -> a + IF(x.votes[r] {}, x.c, 0D))"
-    one = one.withColumn("other", F.expr(f"transform(sequence(0, {n - 1}), r -> transform(sequence(0, 2), v -> IF(v = 0, 1D, {marginal.format('= v')} / ({marginal.format('<> 0')} + 1))))"))
-    start = "transform(p, x -> IF(exists(x.votes, v -> v = 0), 0.2D, 0.95D))"
-
-    def rate(share: str, mass: str, prior: tuple[float, float]) -> str:
-        bad, weight = prior
-        seen_ = f"aggregate(zip_with(p, q, (x, y) -> IF(x.votes[r] = v, x.c * {share}, 0D)), 0D, (a, y) -> a + y)"
-        return f"({seen_} + {weight}D * total * IF(v = 0, {bad}D, {1 - bad}D * other[r][v])) / ({mass} + {weight}D * total)"
-
+    one = one.withColumn("total", F.expr("aggregate(p, 1e-9D, (a, x) -> a + x.c)"))
+    n_bad, n_good = (f"size(filter(x.votes, v -> v = {v}))" for v in (0, 2))
+    starts = f"""array(transform(p, x -> IF({n_bad} > 0, 0.2D, 0.95D)), transform(p, x -> ({n_good} + 0.5D) / ({n_bad} + {n_good} + 1D)),
+        transform(p, x -> IF({n_bad} >= {n_good}, 0.1D, 0.9D)))"""
+    # How many good (g) and bad (b) documents a rule votes bad (b) or good (g) on.
+    votes_ = """aggregate(zip_with(p, q, (x, y) -> named_struct('v', x.votes[r], 'b', x.c * (1 - y), 'g', x.c * y)),
+        named_struct('bb', 0D, 'bg', 0D, 'gb', 0D, 'gg', 0D), (a, t) -> named_struct('bb', a.bb + IF(t.v = 0, t.b, 0D), 'bg', a.bg + IF(t.v = 2, t.b, 0D),
+        'gb', a.gb + IF(t.v = 0, t.g, 0D), 'gg', a.gg + IF(t.v = 2, t.g, 0D)))"""
+    rates = """transform(array(s), n -> transform(array((n.bb + n.gb + 1) / (n.bb + n.bg + n.gb + n.gg + 2)), m -> named_struct(
+        'bad', greatest((n.bb + 1) / (n.bb + n.bg + 2), m), 'good', least((n.gb + 1) / (n.gb + n.gg + 2), m)))[0])[0]"""
+    rule = f"transform(array({votes_}), s -> {rates})[0]"
+    odds = "transform(array({}), e -> named_struct('bad', e.bad, 'good', e.good, 'weights', array(ln(e.good / e.bad), 0D, ln((1 - e.good) / (1 - e.bad))), 'own', array(ln(e.bad), 0D, ln(1 - e.bad))))[0]"
     model = f"""transform(array(aggregate(zip_with(p, q, (x, y) -> x.c * y), 0D, (a, y) -> a + y)), g -> named_struct(
-        'prior', ln((g + 1) / (total - g + 1)),
-        'weights', transform(sequence(0, {n - 1}), r -> transform(sequence(0, 2), v ->
-            ln(({rate("y", "g", GOOD_PRIOR)}) / ({rate("(1 - y)", "(total - g)", BAD_PRIOR)}))))))[0]"""
-    odds = f"m.prior + aggregate(sequence(0, {n - 1}), 0D, (a, r) -> a + m.weights[r][x.votes[r]])"
-    step = f"transform(array({model}), m -> transform(p, x -> 1 / (1 + exp(-({odds})))))[0]"
-    return one.selectExpr("p", "total", "other", f"aggregate(sequence(1, {rounds}), {start}, (q, i) -> {step}) AS q").selectExpr(f"{model} AS m").select("m.prior", "m.weights")
+        'good', (g + 1) / (total + 2), 'rules', transform(sequence(0, {rules - 1}), r -> {odds.format(rule)})))[0]"""
+    of = f"ln(m.good / (1 - m.good)) + aggregate(sequence(0, {rules - 1}), 0D, (a, r) -> a + m.rules[r].weights[x.votes[r]])"
+    step = f"transform(array({model}), m -> transform(p, x -> 1 / (1 + exp(-({of})))))[0]"
+    own = f"ln(1 - m.good) + aggregate(sequence(0, {rules - 1}), 0D, (a, r) -> a + m.rules[r].own[x.votes[r]])"
+    likelihood = f"aggregate(transform(p, x -> x.c * ({own} + ln(1 + exp({of})))), 0D, (a, y) -> a + y)"
+    ends = f"transform({starts}, s0 -> aggregate(sequence(1, {rounds}), s0, (q, i) -> {step}))"
+    return one.selectExpr("p", "total", f"{ends} AS ends").selectExpr("p", f"transform(ends, q -> {model}) AS models").selectExpr(
+        f"array_max(transform(models, m -> named_struct('likelihood', {likelihood}, 'prior', ln(m.good / (1 - m.good)), 'rules', m.rules))) AS m"
+    ).select("m.*")
 
 
 def _judged(marked: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
     """marked (features and votes) with base_failed, posterior and kept."""
-    odds = F.col("m")["prior"] + F.aggregate(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), F.lit(0.0), lambda a, r: a + F.get(F.get(F.col("m")["weights"], r), F.get(F.col("votes"), r)))
+    odds = F.col("m")["prior"] + F.aggregate(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), F.lit(0.0), lambda a, r: a + F.get(F.get(F.col("m")["rules"], r)["weights"], F.get(F.col("votes"), r)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    d = marked.withColumn("m", model.select(F.struct("prior", "weights")).scalar()).withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    d = marked.withColumn("m", model.select(F.struct("prior", "rules")).scalar()).withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
@@ -138,9 +145,6 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept. Texts are read twice and never shuffled."""
-    patterns = written(features(docs).select(votes().alias("votes")), "votes")
-    judged = _judged(features(docs, True).withColumn("votes", votes()), fitted(patterns), threshold)
-    # chance is in [0, 1), so the condition is `kept`; but a filter stays above a projection that is not
-    # deterministic, while pushed down it would inline every count over and over.
-    return judged.withColumn("chance", F.rand(0)).where(F.col("kept").cast("double") > F.col("chance")).select("row.*")
+    """The rows of docs that are kept. Rows are written once beside their counts, and never shuffled."""
+    seen = written(features(docs, True).withColumn("votes", votes()).select("n_words", "n_repeat_words", "votes", "row"), "features")
+    return _judged(seen, fitted(seen), threshold).where("kept").select("row.*")
