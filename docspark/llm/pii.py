@@ -1,17 +1,22 @@
 """PII pseudonyms by format-preserving Feistel permutations (operator 7).
 
 Mail addresses, phone, card and social security numbers, IPv4 addresses and dates are found by one
-pattern, validated (octets, calendar, digit counts), and permuted under a key within their own format: digits stay
-digits in the same layout, octets stay octets, dates stay dates, card numbers keep passing or
-failing the Luhn test. The permutation depends on the key, the kind and the value alone, so equal
-values get equal pseudonyms in every document, and different values of a format different ones.
-
-Null and empty texts come back as they are; text without findings is unchanged. Every input row gives one
-row. Matches that fail validation stay.
+pattern, validated (octets, calendar, digit counts, Luhn test, number areas), and permuted under a key within their own
+format: digits stay digits in the same layout, octets stay octets, dates stay dates of their notation (MM/dd where that parses,
+else dd/MM), cards keep passing the Luhn test, social security numbers stay valid, letters keep their case. The permutation depends
+on the key, the kind and the value alone, so equal values get equal pseudonyms in every document, and different values of a
+format different ones; addresses that differ in case alone share theirs. A value is moved one step inside the order that a Feistel network deals
+(deal, step, deal back), so no value is its own pseudonym.
+
+Null and empty texts come back as they are; text without findings is unchanged; texts may have any length. Every input row gives
+one row, repeated ones too, whatever its id. Matches that fail validation stay. Other columns are kept as they are; of a table
+without text all texts are null. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +34,9 @@ KINDS = (
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 ROUNDS = 8
-DATE_FORMATS = (("\\d{4}-.*", "yyyy-MM-dd"), ("\\d{4}/.*", "yyyy/MM/dd"), (".*\\..*", "dd.MM.yyyy"), (".*/.*", "MM/dd/yyyy"))
+DATE_FORMATS = (("\\d{4}-.*", "yyyy-MM-dd"), ("\\d{4}/.*", "yyyy/MM/dd"), (".*\\..*", "dd.MM.yyyy"))
+#: Steps of a walk to the next valid value; a third or more of all values are valid.
+WALK = 64
 #: Dates are permuted within blocks of this square of days.
 _DAYS = 200
 
@@ -41,14 +48,29 @@ def _feistel(key: str, kind: str, left: Column, right: Column, m_left: Column, m
         digest = F.sha2(F.concat_ws("/", F.lit(key), F.lit(kind), m_left.cast("string"), m_right.cast("string"), i.cast("string"), other.cast("string")), 256)
         return F.pmod(F.conv(digest.substr(1, 14), 16, 10).cast("long"), modulus)
 
-    state = F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)),
-        F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")),
-        lambda s, i: F.when(i % 2 == 1, F.struct(F.pmod(s["l"] + turn(i, s["r"], m_left), m_left).alias("l"), s["r"].alias("r"))).otherwise(
-            F.struct(s["l"].alias("l"), F.pmod(s["r"] + turn(i, s["l"], m_right), m_right).alias("r"))
-        ),
-    )
-    return state["l"], state["r"]
+    def rounds(order: Column, sign: int, state: Column) -> Column:
+        return F.aggregate(
+            order,
+            state,
+            lambda s, i: F.when(i % 2 == 1, F.struct(F.pmod(s["l"] + sign * turn(i, s["r"], m_left), m_left).alias("l"), s["r"].alias("r"))).otherwise(
+                F.struct(s["l"].alias("l"), F.pmod(s["r"] + sign * turn(i, s["l"], m_right), m_right).alias("r"))
+            ),
+        )
+
+    there = rounds(F.sequence(F.lit(1), F.lit(ROUNDS)), 1, F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")))
+    moved = _let(there, lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + 1, m_right).cast("long").alias("r")))
+    back = rounds(F.sequence(F.lit(ROUNDS), F.lit(1)), -1, moved)
+    return back["l"], back["r"]
+
+
+def _walk(value: Column, step, valid) -> Column:
+    """The first valid value that steps from a valid one reach: a permutation of the valid values."""
+    start = F.struct(value.alias("v"), F.lit(False).alias("done"))
+
+    def on(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(_let(step(s["v"]), lambda v: F.struct(v.alias("v"), valid(v).alias("done"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, on)["v"]
 
 
 def _power(base: int, n: Column) -> Column:
@@ -97,11 +119,17 @@ def _let(value: Column, use) -> Column:
 def _card(m: Column, key: str) -> Column:
     def use(d: Column) -> Column:
         body = F.substring(d, F.lit(1), F.length(d) - 1)
-        return _let(_string(body, 10, "card", key), lambda p: F.concat(p, F.pmod(F.substring(d, F.length(d), F.lit(1)).cast("int") - _luhn(body) + _luhn(p), F.lit(10)).cast("string")))
+        passes = F.substring(d, F.length(d), F.lit(1)).cast("int") == _luhn(body)
+        return F.when(passes, _let(_string(body, 10, "card", key), lambda p: F.concat(p, _luhn(p).cast("string")))).otherwise(d)
 
     return _refill(m, "0-9", _let(_digits(m), use))
 
 
+def _ssn(m: Column, key: str) -> Column:
+    valid = lambda d: ~d.rlike(r"^(000|666|9\d\d)|^\d{3}00|0000$")
+    return _let(_digits(m), lambda d: F.when(valid(d), _refill(m, "0-9", _walk(d, lambda x: _string(x, 10, "ssn", key), valid))).otherwise(m))
+
+
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
@@ -118,11 +146,12 @@ _AZ, _BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
 
 def _email(m: Column, key: str) -> Column:
-    """Letters and digits of the local part are permuted each on their own; the host stays."""
+    """Letters and digits of the local part are permuted each on their own; case and host stay."""
     local = F.substring_index(m, "@", 1)
     letters = F.translate(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), _AZ, _BASE26)
     moved = _refill(local, "A-Za-z", F.translate(_runs(letters, 26, "email", key), _BASE26, _AZ))
-    return F.concat(_refill(moved, "0-9", _runs(_digits(local), 10, "email", key)), F.lit("@"), F.substring_index(m, "@", -1))
+    cased = F.array_join(F.zip_with(F.split(local, ""), F.split(moved, ""), lambda was, now: F.when(was.rlike("^[A-Z]$"), F.upper(now)).otherwise(now)), "")
+    return F.concat(_refill(cased, "0-9", _runs(_digits(local), 10, "email", key)), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -135,21 +164,31 @@ def _ip(m: Column, key: str) -> Column:
     return _let(F.split(m, "\\."), use)
 
 
-def _date_in(m: Column, form: str, key: str) -> Column:
-    def use(d: Column) -> Column:
-        n = F.datediff(d, F.lit("0001-01-01").cast("date"))
-        block = F.floor(n / (_DAYS * _DAYS)).cast("int") * (_DAYS * _DAYS)
-        left, right = _feistel(key, "date", F.floor((n - block) / _DAYS), F.pmod(n, F.lit(_DAYS)), F.lit(_DAYS), F.lit(_DAYS))
-        moved = F.date_add(F.lit("0001-01-01").cast("date"), (block + left * _DAYS + right).cast("int"))
-        return F.when(d.isNotNull() & (n < 91 * _DAYS * _DAYS), F.date_format(moved, form)).otherwise(m)
+def _parsed(m: Column, form: str) -> Column:
+    """The date, or null; dates after the last whole block of days are left out."""
+    d = F.to_date(F.try_to_timestamp(m, F.lit(form)))
+    return F.when(F.datediff(d, F.lit("0001-01-01").cast("date")).between(0, 91 * _DAYS * _DAYS - 1), d)
+
 
-    return _let(F.to_date(F.try_to_timestamp(m, F.lit(form))), use)
+def _moved_date(d: Column, key: str) -> Column:
+    n = F.datediff(d, F.lit("0001-01-01").cast("date"))
+    block = F.floor(n / (_DAYS * _DAYS)).cast("int") * (_DAYS * _DAYS)
+    left, right = _feistel(key, "date", F.floor((n - block) / _DAYS), F.pmod(n, F.lit(_DAYS)), F.lit(_DAYS), F.lit(_DAYS))
+    return F.date_add(F.lit("0001-01-01").cast("date"), (block + left * _DAYS + right).cast("int"))
+
+
+def _date_in(m: Column, form: str, key: str, otherwise: Column, valid=None) -> Column:
+    """valid: which dates may come out, if not all."""
+    moved = lambda d: F.date_format(_moved_date(d, key) if valid is None else _walk(d, lambda x: _moved_date(x, key), valid), form)
+    return _let(_parsed(m, form), lambda d: F.when(d.isNotNull(), moved(d)).otherwise(otherwise))
 
 
 def _date(m: Column, key: str) -> Column:
-    out = m
+    # A day-first date stays one that no month-first date looks like.
+    day_first = _date_in(m, "dd/MM/yyyy", key, m, lambda d: F.dayofmonth(d) > 12)
+    out = F.when(m.rlike("^../../"), _date_in(m, "MM/dd/yyyy", key, day_first)).otherwise(m)
     for shape, form in reversed(DATE_FORMATS):
-        out = F.when(m.rlike(f"^{shape}$"), _date_in(m, form, key)).otherwise(out)
+        out = F.when(m.rlike(f"^{shape}$"), _date_in(m, form, key, m)).otherwise(out)
     return out
 
 
@@ -166,20 +205,27 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         F.when(kind == "email", _email(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "date", _date(m, key))
-        .when(kind == "ssn", _refill(m, "0-9", _string(_digits(m), 10, "ssn", key)))
+        .when(kind == "ssn", _ssn(m, key))
         .when(kind == "phone", F.when(F.length(_digits(m)).between(7, 20), _phone(m, key)).otherwise(m))
         .when(kind == "card", _card(m, key))
         .otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """docs with its text replaced, and the column `n_pii`: array of counts in the order of KINDS."""
+def pseudonymise(docs: DataFrame, key: str, counts: str | None = None) -> DataFrame:
+    """docs with its text replaced; `counts` names a column to add: how many findings of each of KINDS were replaced.
+
+    A name that docs already has is refused, so no column is lost.
+    """
+    if counts in docs.columns:
+        raise ValueError(f"docs already has a column {counts}")
     text = column(docs, "text", "string")
     some = text.rlike("[0-9@]") & text.rlike(PATTERN)
     found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("was"), pseudonym(m, k, key).alias("now")))))
-    d = docs.withColumn("__found", found)
-    merged = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.col("__found"), lambda gap, hit: F.concat(gap, F.coalesce(hit["now"], F.lit("")))), "")
-    changed = lambda k: F.size(F.filter("__found", lambda x: (x["kind"] == k) & (x["was"] != x["now"])))
-    counts = F.when(F.col("__found").isNull(), F.array_repeat(F.lit(0), len(KINDS))).otherwise(F.array(*(changed(k) for k, _ in KINDS)))
-    return d.withColumn("n_pii", counts).withColumn("text", F.when(F.col("__found").isNull(), text).otherwise(merged)).drop("__found")
+    own = "found_" + uuid.uuid4().hex
+    d = docs.withColumn(own, found)
+    merged = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.col(own), lambda gap, hit: F.concat(gap, F.coalesce(hit["now"], F.lit("")))), "")
+    if counts is not None:
+        changed = lambda k: F.size(F.filter(own, lambda x: (x["kind"] == k) & (x["was"] != x["now"])))
+        d = d.withColumn(counts, F.when(F.col(own).isNull(), F.array_repeat(F.lit(0), len(KINDS))).otherwise(F.array(*(changed(k) for k, _ in KINDS))))
+    return d.withColumn("text", F.when(F.col(own).isNull(), text).otherwise(merged)).drop(own)

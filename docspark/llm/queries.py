@@ -45,7 +45,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(load(spark, sf_dir, "documents"), PII_KEY)
+    out = pii.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, "n_pii")
     return out.select("doc_id", "text", *(F.get("n_pii", F.lit(i)).cast("long").alias(f"n_{kind}") for i, (kind, _) in enumerate(pii.KINDS)))
 
 

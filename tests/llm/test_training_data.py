@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empty and repeated rows and empty tables."""
 
 import collections
+import datetime
 import hashlib
 import itertools
 import re
@@ -207,11 +208,81 @@ def test_pii(spark, odd):
     assert pii.pseudonymise(odd, "k").count() == len(ODD)
 
 
+def feistel(key, kind, left, right, m_left, m_right):
+    """The pair one step on in the dealt order, in plain Python."""
+
+    def turn(i, other, modulus):
+        return int(hashlib.sha256(f"{key}/{kind}/{m_left}/{m_right}/{i}/{other}".encode()).hexdigest()[:14], 16) % modulus
+
+    for i in range(1, pii.ROUNDS + 1):
+        left, right = ((left + turn(i, right, m_left)) % m_left, right) if i % 2 else (left, (right + turn(i, left, m_right)) % m_right)
+    right = (right + 1) % m_right
+    for i in range(pii.ROUNDS, 0, -1):
+        left, right = ((left - turn(i, right, m_left)) % m_left, right) if i % 2 else (left, (right - turn(i, left, m_right)) % m_right)
+    return left, right
+
+
+def digits(key, kind, s):
+    a = len(s) // 2
+    left, right = feistel(key, kind, int(s[:a] or 0), int(s[a:]), 10**a, 10 ** (len(s) - a))
+    return (f"{left:0{a}d}" if a else "") + f"{right:0{len(s) - a}d}"
+
+
+def luhn(body):
+    return -sum(sum(divmod(int(c) * 2, 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body))) % 10
+
+
+def test_pii_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    day0 = datetime.date(1, 1, 1)
+    rows, want = [], []
+    for _ in range(150):
+        ssn = "".join(map(str, rng.integers(0, 10, 9)))
+        ok = lambda d: not re.search(r"^(000|666|9..)|^...00|0000$", d)
+        shape = lambda d: f"{d[:3]}-{d[3:5]}-{d[5:]}"
+        now = ssn
+        while ok(ssn):
+            now = digits("k", "ssn", now)
+            if ok(now):
+                break
+        rows.append(shape(ssn)), want.append(shape(now))
+        body = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        check = luhn(body)
+        new = digits("k", "card", body)
+        rows.append(body + str(check)), want.append(new + str(luhn(new)))
+        rows.append(body + str((check + 1) % 10)), want.append(rows[-1])
+        o = rng.integers(0, 256, 4).tolist()
+        left, right = feistel("k", "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        rows.append(".".join(map(str, o))), want.append(f"{left // 256}.{left % 256}.{right // 256}.{right % 256}")
+        n = int(rng.integers(600_000, 760_000))
+
+        def moved(n):
+            block = n // 40_000 * 40_000
+            left, right = feistel("k", "date", (n - block) // 200, n % 200, 200, 200)
+            return block + left * 200 + right
+
+        date = lambda n: day0 + datetime.timedelta(n)
+        rows.append(date(n).isoformat()), want.append(date(moved(n)).isoformat())
+        rows.append(date(n).strftime("%m/%d/%Y")), want.append(date(moved(n)).strftime("%m/%d/%Y"))
+        if date(n).day > 12:
+            at = moved(n)
+            while date(at).day <= 12:
+                at = moved(at)
+            rows.append(date(n).strftime("%d/%m/%Y")), want.append(date(at).strftime("%d/%m/%Y"))
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r.text for r in pii.pseudonymise(d, "k").orderBy("doc_id").collect()] == want
+    assert all(a != b for a, b in zip(rows, want, strict=True) if not re.fullmatch(r"\d{16}|(000|666|9..).*|...-00-.*|.*-0000", a))
+
+
 def test_pii_permutes(spark):
-    d = spark.range(1000).select(F.col("id").alias("doc_id"), F.format_string("%03d-%02d-%04d", F.col("id") % 10, F.lit(7), F.col("id")).alias("text"))
+    d = spark.range(1000).select(F.col("id").alias("doc_id"), F.format_string("%03d-%02d-%04d", F.col("id") % 10 + 1, F.lit(7), F.col("id") + 1).alias("text"))
     assert pii.pseudonymise(d, "k").select("text").distinct().count() == 1000
     days = spark.range(2000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert pii.pseudonymise(days, "k").select(F.to_date("text").alias("x")).where("x is not null").distinct().count() == 2000
+    mails = spark.createDataFrame([(1, "J.Doe@x.org"), (2, "j.doe@x.org"), (None, "j.dof@x.org")], "doc_id long, text string").withColumn("n_pii", F.lit(5)).withColumn("found", F.lit(6))
+    got = [r.text for r in pii.pseudonymise(mails, "k").collect()]
+    assert got[0].lower() == got[1] != got[2] and re.fullmatch(r"[A-Z]\.[A-Z][a-z]{2}@x\.org", got[0])
+    assert {(r.n_pii, r.found) for r in pii.pseudonymise(mails, "k").collect()} == {(5, 6)}
 
 
 def test_warc_round_trip(spark, tmp_path):
