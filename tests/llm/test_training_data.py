@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docspark.llm import common, decontaminate, jaccard_join, language_id, mixing, pii, quality_rules, queries, secret_scan, substring_dedup, toxicity, warc
+from docspark.operators import set_tiles
+from docspark.plans.storage import new_path
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: An id that a float can't hold.
+BIG = 2**53 + 1
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, None, None, None, None), (2, "", "en", None, 0), (None, "no id here", "en", "a", 10), (3, "x" * 300_000 + " end", "en", "a", 5), (4, "same text twice", "en", "a", 15), (4, "same text twice", "en", "a", 15), (5, "\U0001f600 é \t\n", "fr", "b", 6)]
 
@@ -74,14 +78,74 @@ def test_jaccard_join_chains_and_odd_rows(spark, odd):
     assert jaccard_join.jaccard_join(odd.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_equal_sets_and_exact_ids(spark):
+    rows = [(BIG, "one two three four five"), (None, "one two three four five"), (BIG + 2, "ONE two three four five"), (5, "one two three four six"), (6, "six four three"), (6, "other words of one id"), (4, "other words of one id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.jaccard_join(docs, 4, 100).collect()}
+    assert got == {(BIG, 2): BIG, (None, 2): None, (BIG + 2, 2): BIG, (5, 2): 5, (6, 1): 4, (6, 2): 4, (4, 2): 4}
+    assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_join(docs, 4, 0)
+
+
 def test_divide_skip():
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        lists = [sorted(rng.choice(40, rng.integers(0, 30), replace=False).tolist()) for _ in range(12)]
-        count = collections.Counter(x for y in lists for x in y)
+    for _ in range(40):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(25)]
+        index = jaccard_join.Inverted(sets)
+        open_ = rng.random(25) < 0.8
+        count = {m: len(np.intersect1d(sets[0], sets[m])) for m in range(25) if open_[m]}
         for t in (1, 3, 6):
             for aside in (None, 0, 2, 11):
-                assert jaccard_join.divide_skip(lists, t, aside) == {x: c for x, c in count.items() if c >= t}
+                assert index.divide_skip(index.ranks[0], t, open_, aside) == {m: c for m, c in count.items() if c >= t}
+
+
+def test_tiles_join_what_links():
+    """The search decides: the forest connects what brute force connects, and a search that misses members changes it."""
+    rng = np.random.default_rng(5)
+    base = [np.arange(i * 1000, i * 1000 + 100) for i in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(base[i % 4], 100 - i % 14, replace=False), rng.integers(10**6, 10**9, i % 14)])).astype(np.uint64) for i in range(80)]
+
+    class Deaf(jaccard_join.Inverted):
+        def divide_skip(self, *_):
+            return {}
+
+    def parts(links):
+        up = list(range(80))
+        for a, b in links:
+            x, y = up[a], up[b]
+            up = [x if u == y else u for u in up]
+        return [up.index(u) for u in up]
+
+    every = [(a, b) for a, b in itertools.combinations(range(80), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    for index in (jaccard_join.Inverted, set_tiles.Scan):
+        links = set_tiles.forest(sets, list(range(80)), [False] * 80, 85, index)
+        assert set(map(frozenset, links)) <= set(map(frozenset, every)) and parts(links) == parts(every) and len(links) < 80
+    assert set_tiles.forest(sets, list(range(80)), [False] * 80, 85, Deaf) == []
+    asked = set_tiles.forest(sets, list(range(80)), [i == 8 for i in range(80)], 85, jaccard_join.Inverted)
+    assert {b for _, b in asked} == {b if a == 8 else a for a, b in every if 8 in (a, b)}
+
+
+def test_open_members_are_those_of_all_pairs():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        label, n = rng.integers(0, 6, 40), rng.integers(50, 70, 40)
+        bits = rng.integers(0, 2**8, (40, 8)) * (rng.random((40, 8)) < 0.2)
+        apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2, dtype=np.int64)
+        ok = (label[:, None] != label) & (100 * np.minimum(n[:, None], n) >= 85 * np.maximum(n[:, None], n)) & (185 * apart <= 15 * (n[:, None] + n))
+        m, own, other = jaccard_join.unresolved(label, n, bits, 85)
+        assert set(m.tolist()) == set(np.flatnonzero(ok.any(1)).tolist()) and (own != other).all() and len(m) <= 46
+        reach = lambda pairs: [min(x) for x in _closure(6, pairs)]
+        assert reach(zip(own.tolist(), other.tolist(), strict=True)) == reach([(label[a], label[b]) for a, b in zip(*np.nonzero(ok), strict=True)])
+
+
+def _closure(n, pairs):
+    of = [{i} for i in range(n)]
+    for a, b in pairs:
+        both = of[a] | of[b]
+        for x in both:
+            of[x] = both
+    return of
 
 
 def test_language_id_held_out(spark, odd):
@@ -92,6 +156,27 @@ def test_language_id_held_out(spark, odd):
     got = language_id.identify(odd, net).collect()
     assert len(got) == len(ODD) and {r.doc_id: r.lang_pred for r in got}[1] == "und"
     assert {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
+    big = spark.createDataFrame([(BIG, "la casa es de los que"), (None, "the house of them")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in language_id.identify(big, net).collect()} == {BIG, None}
+
+
+def test_language_id_against_a_naive_convolution():
+    rng = np.random.default_rng(8)
+    net = language_id.ByteNet(["a", "b", "c"])
+    texts = [bytes(rng.integers(97, 120, n).astype(np.uint8)) for n in (0, 1, 2, 5, 253, 254, 255, 256, 257, 700, 2000)]
+
+    def naive(data):
+        total = np.zeros(3)
+        padded = data.ljust(-(-max(len(data), 1) // 256) * 256) + b"   "
+        for at in range(0, len(padded) - 3, 256):
+            pooled = [max(sum(t[k][padded[p + k]][f] for k in range(len(t))) for p in range(at, at + 256)) for t in net.tables for f in range(language_id.FILTERS)]
+            z = np.maximum(pooled, 0) @ net.out + net.bias
+            total += max(1, min(256, len(data) - at)) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return total / total.sum()
+
+    batch = language_id.predict(net, net.pairs(), texts)
+    for i, t in enumerate(texts):
+        assert np.allclose(batch[i], naive(t), atol=1e-5) and np.allclose(batch[i], language_id.predict(net, net.pairs(), [t])[0], atol=1e-6)
 
 
 def test_secret_scan(spark, odd):
@@ -114,30 +199,41 @@ def test_toxicity(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels, common.fold(F.col("doc_id"), 3) != 1)
     weights = np.zeros((len(model.ids), len(model.term)))
-    for t in range(len(model.term)):
-        weights[model.index.ids[t], t] = model.index.weights[t]
+    weights[model.index.ids, np.repeat(np.arange(len(model.term)), np.diff(model.index.cuts[:: model.index.blocks]))] = model.index.weights
+    assert np.allclose((weights**2).sum(1), 1)
     for r in docs.limit(200).collect():
-        v = model.vector(toxicity.term_counts(r.text, model.stems))
+        terms, w = model.vector(toxicity.term_counts(r.text))
         q = np.zeros(len(model.term))
-        q[list(v)] = list(v.values())
+        q[terms] = w
         best = np.sort(weights @ q)[::-1][: toxicity.K]
-        assert np.allclose([s for s, _ in model.index.search(v, toxicity.K)], best[best > 0])
-    held = toxicity.score(docs, model).join(labels, "doc_id").where(common.fold(F.col("doc_id"), 3) == 1).toPandas()
+        near = model.index.search(terms, w, toxicity.K)
+        assert np.allclose([s for s, _ in near], best[best > 0])
+        vote = (sum(model.labels[i] / (1.05 - min(s, 1)) for s, i in near) + model.prior) / (sum(1 / (1.05 - min(s, 1)) for s, _ in near) + 1)
+        assert np.isclose(model.vote(near), vote)
+    rows, raw = toxicity.score(docs, model).join(labels, "doc_id"), np.array(model.steps)
+    assert (np.diff(raw) >= 0).all() and model.share < 0.3
+    held = rows.where(common.fold(F.col("doc_id"), 3) == 1).toPandas()
     assert held[held.predicted == 1].toxic.mean() > 0.8 and held[held.toxic == 1].predicted.mean() > 0.5
     assert toxicity.score(odd, model).count() == len(ODD)
+    big = spark.createDataFrame([(BIG, "you idiot"), (None, "a")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in toxicity.score(big, model).collect()} == {BIG, None}
     empty = toxicity.fit(docs.limit(0), labels, F.lit(True))
     assert {r.score for r in toxicity.score(odd, empty).collect()} == {0.0}
+    twice = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
+    few = toxicity.fit(spark.createDataFrame([(i, f"words of {i}") for i in range(1, 5)], "doc_id long, text string"), twice, F.lit(True))
+    assert sorted(zip(few.ids, few.labels, strict=True)) == [(1, 1), (2, 0)]
 
 
-def test_toxicity_keeps_rare_terms():
-    """A term in 25 of 3,000 toxic examples and 2,500 terms that each have as many keep their place."""
-    spread = ["q" + "".join("abcdefghijklmnopqrstuvwxyz"[i // 26**j % 26] for j in range(3)) for i in range(2500)]
-    examples = [("plain " + ("vile " if i < 25 else "") + " ".join(spread[(i * 25 + j) % 2500] for j in range(25)), 1) for i in range(3000)]
-    examples += [(f"plain words {i}", 0) for i in range(3000)]
-    got = set(toxicity.choose_vocabulary(examples))
-    assert {"vile", *spread} <= got and "plain" not in got
-    model = toxicity.Model([(i, t, y) for i, (t, y) in enumerate(examples[:40] + examples[3000:3300])], sorted(got), {}, 340)
-    assert model.score(toxicity.term_counts("a vile remark", model.stems))[0] > model.base
+def test_toxicity_of_near_copies_and_rare_words():
+    """A near copy of one example finds it, whatever its words; rare words that go with label 1 are marked."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(600)]
+    examples = [(i, toxicity.term_counts(t + (" vile" if i < 25 else "")), int(i < 300)) for i, t in enumerate(texts)]
+    model = toxicity.Model(examples, {}, 600)
+    assert model.score(toxicity.term_counts("a vile remark"))[0] > 0.7
+    assert model.score(toxicity.term_counts(texts[100] + " more"))[1][0] == 100
+    assert "vile" in toxicity.marked_words([e[1] for e in examples], [e[2] for e in examples])
 
 
 def test_substring_dedup_resists_shifts(spark, odd):
@@ -154,7 +250,51 @@ def test_substring_dedup_resists_shifts(spark, odd):
     for i, r in got.items():
         other = text[i + 1 if i % 3 == 0 else i - 1].encode()
         assert all(text[i].encode()[s.start : s.end] in other for s in r.spans)
-    assert substring_dedup.substring_dedup(odd).count() == 0 and substring_dedup.substring_dedup(odd.limit(0)).count() == 0
+    assert [r.doc_id for r in substring_dedup.substring_dedup(odd).collect()] == [] and substring_dedup.substring_dedup(odd.limit(0)).count() == 0
+
+
+def test_substring_dedup_against_brute_force(spark):
+    """Chunks counted by their bytes in plain Python; texts of all lengths, in pieces or whole."""
+    rng = np.random.default_rng(7)
+    make = lambda n: bytes(rng.choice(list(b"abcdefghijklmno  "), n).astype(np.uint8)).decode()
+    shared = [make(n) for n in (40, 95, 96, 200, 330, 5000)]
+    rows = [(i, make(int(rng.integers(0, 400))) + shared[i % 6] + make(int(rng.integers(0, 300)))) for i in range(60)]
+    rows += [(100 + i, "a short text of few bytes") for i in range(3)] + [(110, "x" * 9000), (111, "y" + "x" * 7000), (112, "only once"), (113, ""), (None, shared[5])]
+
+    def cuts(data):
+        h, out = 0, []
+        for i, b in enumerate(data):
+            h = (sum(int(substring_dedup._GEAR[data[i - k]]) << k for k in range(min(16, i + 1)))) & 0xFFFF
+            if h < 65536 // substring_dedup.MEAN:
+                out.append(i + 1)
+        return sorted({0, *out, len(data)})
+
+    def chunked(data):
+        if len(data) < 96:
+            return [(0, len(data))] if data else []
+        c = cuts(data)
+        ends = [next((e for e in c if e >= a + 96), a + 4096) for a in c]
+        return [(a, min(e, a + 4096)) for a, e in zip(c, ends, strict=True) if min(e, a + 4096) <= len(data)]
+
+    where, of = collections.defaultdict(set), {i: t.encode() for i, t in rows if i is not None}
+    for i, data in of.items():
+        for a, b in chunked(data):
+            where[data[a:b]].add(i)
+    want = {}
+    for i, data in of.items():
+        spans = []
+        for a, b in sorted((a, b) for a, b in chunked(data) if len(where[data[a:b]]) > 1):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
+        if spans:
+            want[i] = [tuple(x) for x in spans]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("start", F.lit(2))
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == want and {100, 101, 102, 110, 111} <= set(got) and 112 not in got
+    whole, pieced = (sorted(map(tuple, substring_dedup.chunk_rows(docs, slab=n).collect())) for n in (1 << 20, 700))
+    assert whole == pieced
 
 
 def test_decontamination(spark, odd):
@@ -168,6 +308,25 @@ def test_decontamination(spark, odd):
     assert decontaminate.decontaminate(odd, bench).count() == 0 and decontaminate.decontaminate(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Random items with random substitutions: every window of 14 words that agrees in 11 is found, with its best count."""
+    rng = np.random.default_rng(11)
+    items = {i: [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(15, 40)))] for i in range(25)}
+    docs = {}
+    for i in range(120):
+        item, share = items[i % 25], rng.choice([0, 0.1, 0.2, 0.25, 0.4])
+        docs[i] = [f"f{x}" for x in rng.integers(0, 10**6, 20)] + [f"s{rng.integers(10**6)}" if rng.random() < share else w for w in item] + [f"w{x}" for x in rng.integers(0, 400, 20)]
+    want = {}
+    for (d, a), (i, b) in itertools.product(docs.items(), items.items()):
+        for shift in range(-len(b) + 14, len(a) - 13):
+            same = [a[j + shift] == b[j] if 0 <= j + shift < len(a) else None for j in range(len(b))]
+            sums = [sum(same[j : j + 14]) for j in range(len(b) - 13) if None not in same[j : j + 14]]
+            if sums and max(sums) >= 11:
+                want[d, i] = max(want.get((d, i), 0), max(sums))
+    got = decontaminate.decontaminate(*(spark.createDataFrame([(i, " ".join(w)) for i, w in x.items()], f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))).collect()
+    assert {(r.doc_id, r.item_id): r.matched for r in got} == want and len(want) > 60
+
+
 def test_decontamination_of_whole_items(spark, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {r.doc_id for r in decontaminate.decontaminate(documents, bench).collect()}
@@ -299,6 +458,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.rewritten(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_warc_odd_rows(spark):
+    big, long = "z" * 1000, "longer text with WARC/1.1\r\nWARC-Type: in it\r\n\r\n" * 60_000
+    rows = [(BIG, "a", big), (None, "b", big), (BIG - 1, None, big), (7, "c", long), (7, "c", long), (3, "d", long), (4, "e", "z" * 999), (5, "f", "z" * 999), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_bytes", F.lit("x")).withColumn("value", F.lit(1)).withColumn("k", F.lit(2)).coalesce(1)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.rewritten(pages).collect()), key=str)
+    n = len(long)
+    assert got == sorted([(BIG, 1000, "response", None), (None, 1000, "response", None), (BIG - 1, 1000, "revisit", BIG), (7, n, "response", None), (7, n, "response", None), (3, n, "revisit", 7), (4, 999, "response", None), (5, 999, "response", None), (None, 0, "response", None)], key=str)
+    path = new_path(spark, "warc")
+    warc.write_archives(pages, path)
+    html = sorted((r.html or "") for r in warc.read_archives(spark, path, payloads=True).collect())
+    assert html == sorted([big, big, "", long, long, "", "z" * 999, "z" * 999, ""])
+
+
+def test_warc_shuffles_headers_alone(spark):
+    plan = warc.revisits(spark.read.parquet(f"{SF}/pages.parquet"))
+    assert "html" not in plan.columns
+
+
 def test_quality_rules(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
@@ -310,6 +487,8 @@ def test_quality_rules(spark, odd):
         g = got[r.doc_id]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r.text)), len(lines) - len(set(lines)), len(covered))
         assert g.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (g.base_failed and g.kept)
+    passing = docs.join(quality_rules.features(docs).withColumn("votes", quality_rules.votes()).where("exists(votes, v -> v = 0)").select("doc_id"), "doc_id", "left_anti")
+    assert {r.doc_id for r in passing.collect()} != {i for i, g in got.items() if g.kept}  # it isn't all-must-pass
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     assert np.mean([got[i].kept for i, q in labels.items() if q == 0]) < 0.1 and np.mean([got[i].kept for i, q in labels.items() if q == 1 and not got[i].base_failed]) > 0.97
     assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == sorted(i for i, g in got.items() if g.kept)
@@ -317,6 +496,51 @@ def test_quality_rules(spark, odd):
     assert quality_rules.quality_rules(odd.limit(0)).count() == 0
 
 
+def em(patterns, counts, rounds):
+    """The same estimates in numpy: (likelihood, share of good, rates for bad, rates for good)."""
+    bad, good = patterns == 0, patterns == 2
+    ends = []
+    for q in (np.where(bad.any(1), 0.2, 0.95), (good.sum(1) + 0.5) / (bad.sum(1) + good.sum(1) + 1), np.where(bad.sum(1) >= good.sum(1), 0.1, 0.9)):
+        for i in range(rounds + 1):
+            g = (counts * q).sum()
+            share = (g + 1) / (counts.sum() + 2)
+            bb, bg, gb, gg = (((counts * x)[:, None] * v).sum(0) for x in (1 - q, q) for v in (bad, good))
+            m = (bb + gb + 1) / (bb + gb + bg + gg + 2)
+            sb, sg = np.maximum((bb + 1) / (bb + bg + 2), m), np.minimum((gb + 1) / (gb + gg + 2), m)
+            odds = np.log(share / (1 - share)) + (bad * np.log(sg / sb)).sum(1) + (good * np.log((1 - sg) / (1 - sb))).sum(1)
+            if i < rounds:
+                q = 1 / (1 + np.exp(-odds))
+        own = np.log(1 - share) + (bad * np.log(sb)).sum(1) + (good * np.log(1 - sb)).sum(1)
+        ends.append(((counts * (own + np.log1p(np.exp(odds)))).sum(), share, sb, sg))
+    return max(ends, key=lambda e: e[0])
+
+
+def test_quality_em_recovers_planted_rates(spark):
+    rng = np.random.default_rng(12)
+    sb, sg, speaks = np.array([0.8, 0.6, 0.7, 0.3, 0.5]), np.array([0.05, 0.1, 0.02, 0.25, 0.5]), np.array([0.9, 1, 0.7, 1, 1])
+    good = rng.random(30_000) < 0.8
+    votes = np.where(rng.random((30_000, 5)) < np.where(good[:, None], sg, sb), 0, 2)
+    votes = np.where(rng.random((30_000, 5)) < speaks, votes, 1)
+    got = quality_rules.fitted(spark.createDataFrame([(v,) for v in votes.tolist()], "votes array<int>"), rules=5).first()
+    assert abs(1 / (1 + np.exp(-got.prior)) - 0.8) < 0.03
+    assert np.allclose([r.bad for r in got.rules], sb, atol=0.06) and np.allclose([r.good for r in got.rules], sg, atol=0.03)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    likelihood, share, b, g = em(patterns, counts.astype(float), quality_rules.ROUNDS)
+    assert np.isclose(got.likelihood, likelihood) and np.isclose(got.prior, np.log(share / (1 - share)))
+    assert np.allclose([r.bad for r in got.rules], b) and np.allclose([r.good for r in got.rules], g)
+
+
+def test_mixing_of_equal_ids(spark):
+    """Null ids and repeated rows are documents of their own, cut one after another."""
+    rows = [(None, "w " * (i % 7), "a") for i in range(300)] + [(5, "w w w", "a")] * 200 + [(i, "w " * 4, "b") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit(9)).withColumn("key", F.lit(1))
+    got = mixing.mix_sources(d).toPandas()
+    assert len(got) == 600 and sorted(got["size"]) == sorted(len((t or "").split()) for _, t, _ in rows)
+    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((by.target - by.taken).abs() <= 1).all() and (got.taken <= 2 * got["size"]).all()
+    assert mixing.mix_sources(d.repartition(5)).exceptAll(mixing.mix_sources(d)).count() == 0
+
+
 def test_mixing(spark, odd):
     rng = np.random.default_rng(2)
     rows = [(i, "w " * int(rng.integers(0, 30)), "en", None if i % 50 == 0 else f"s{int(rng.zipf(2)) % 7}", 0) for i in range(600)]
@@ -349,6 +573,8 @@ def test_pipeline_against_its_operators(spark, documents):
 
 def test_stages_on_odd_rows(spark):
     docs = spark.createDataFrame(ODD, DOCS)
+    for c in ("words", "h", "n_pii", "component_id", "kept", "row", "votes", "item_id"):
+        docs = docs.withColumn(c, F.lit(7))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for d in (docs, docs.limit(0)):
             out = stage(spark, d, SF)
