@@ -4,9 +4,9 @@ Words are runs of letters and digits, lower-cased. A mask reads some positions o
 ignores the others, so a window still matches after the word at an ignored position was
 substituted. Masks are applied at every position of both sides:
 
-1. The benchmark's pairs of neighbouring words and its seeds set bits of bitmaps, sized by their number and 512 KB at most;
-   all masks read two neighbours first. Only positions of a document that pass both are exploded, so the
-   large side makes rows only for likely hits.
+1. The benchmark's pairs of neighbouring words, its triples of a pair and the next word that a mask reads, and its seeds
+   set bits of bitmaps, sized by their number and 512 KB at most; all masks read two neighbours first. Only positions
+   of a document that pass all three are exploded, so the large side makes rows only for likely hits.
 2. These rows join the benchmark's seeds on the hash; Spark broadcasts the seeds if they are small.
 3. A hit fixes an alignment. The hashes of the words around the hit travel with it on both sides; the
    hit counts when some `span` words in a row (the whole item where that is shorter) agree in
@@ -64,6 +64,11 @@ def _pair(h: Column, i: Column) -> Column:
     return F.shiftleft(F.get(h, i), 1).bitwiseXOR(F.get(h, i + F.lit(1)))
 
 
+def _triple(h: Column, i: Column, offset: int) -> Column:
+    """A hash of the pair at i and the word at i + offset."""
+    return F.shiftleft(_pair(h, i), 1).bitwiseXOR(F.get(h, i + F.lit(offset))).bitwiseXOR(F.lit(offset * 0x5DEECE66D))
+
+
 def solid(words: int, need: float) -> tuple[int, ...]:
     """The longest run that agrees wherever the substitutions in an accepted window of `words` words fall."""
     same = math.ceil(need * words)
@@ -105,23 +110,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, need:
     likely = _bitmap(seeds.select(F.col("seed").alias("x")).distinct())
     upto = lambda n: F.when(n >= 0, F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     pairs = _bitmap(items.select(F.explode(F.transform(upto(F.size("h") - 2), lambda i: _pair(F.col("h"), i))).alias("x")).distinct())
+    known = dict.fromkeys((*masks, *short))
+    thirds = sorted({m[2] for m in known if len(m) > 2 and m[:2] == (0, 1)})
+    if thirds:
+        third = lambda o: lambda i: _triple(F.col("h"), i, o)
+        triples = _bitmap(items.select(F.explode(F.flatten(F.array(*(F.transform(upto(F.size("h") - 1 - o), third(o)) for o in thirds)))).alias("x")).distinct())
     d = _hashed(docs, "doc_id")
     d = d.withColumn("from", F.filter(upto(F.size("h") - 2), lambda i: _has(pairs, _pair(F.col("h"), i))))
+    seen = lambda o: lambda i: _has(triples, _triple(F.col("h"), i, o))
+    for o in thirds:
+        d = d.withColumn(f"from{o}", F.filter("from", seen(o)))
 
     def passing(mask: tuple[int, ...]) -> Column:
-        among = F.col("from") if mask[:2] == (0, 1) else upto(F.size("h") - 1 - mask[-1])
+        among = F.col("from" if len(mask) < 3 else f"from{mask[2]}") if mask[:2] == (0, 1) else upto(F.size("h") - 1 - mask[-1])
         last = F.size("h") - mask[-1]
         return F.transform(
             F.filter(among, lambda i: (i < last) & _has(likely, _seed(F.col("h"), i, mask))),
             lambda i: F.struct(_seed(F.col("h"), i, mask).alias("seed"), F.least(i, F.lit(reach)).alias("at"), _around(F.col("h"), i, reach).alias("ctx")),
         )
 
-    hits = d.select("doc_id", F.explode(F.flatten(F.array(*(passing(m) for m in dict.fromkeys((*masks, *short)))))).alias("s")).select("doc_id", "s.*").join(seeds, "seed")
+    hits = d.select("doc_id", F.explode_outer(F.flatten(F.array(*(passing(m) for m in known)))).alias("s")).select("doc_id", "s.*").join(seeds, "seed")
     # Lay the two contexts over each other: `before` words ahead of the hit on both sides, then all that both have.
     before = F.least("at", "i_at")
     lay = lambda c, at: F.slice(c, F.col(at) - before + 1, F.greatest(F.size(c) - F.col(at) + before, F.lit(0)))
-    hits = hits.withColumn("a", lay("ctx", "at")).withColumn("b", lay("i_ctx", "i_at")).withColumn("n", F.least(F.size("a"), F.size("b")))
-    hits = hits.where("n >= w").withColumn("same", F.zip_with(F.slice("a", 1, F.col("n")), F.slice("b", 1, F.col("n")), lambda x, y: (x == y).cast("int")))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("w")), F.lit(0), lambda x, y: x + y)))
-    found = hits.select("doc_id", "item_id", best.alias("matched"), F.col("w").alias("compared")).where(F.col("matched") >= F.ceil(F.lit(need) * F.col("compared")))
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared"))
+    equal = F.zip_with(lay("ctx", "at"), lay("i_ctx", "i_at"), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+
+    def most(same: Column) -> Column:
+        """The greatest sum of w neighbours, in one pass."""
+
+        def on(state: Column, i: Column) -> Column:
+            total = state["sum"] + F.get(same, i) - F.when(i >= F.col("w"), F.get(same, i - F.col("w"))).otherwise(0)
+            return F.struct(total.alias("sum"), F.when(i >= F.col("w") - 1, F.greatest(state["best"], total)).otherwise(state["best"]).alias("best"))
+
+        return F.aggregate(upto(F.size(same) - 1), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("best")), on)["best"]
+
+    # A position past the end of one side is no agreement, and a window over it agrees in no more words than one that ends there.
+    both = F.least(F.size(lay("ctx", "at")), F.size(lay("i_ctx", "i_at")))
+    matched = F.when(both >= F.col("w"), F.get(F.transform(F.array(equal), most), F.lit(0))).otherwise(0)
+    # Aggregated before they are filtered: a filter would move into the join and count every window again.
+    best = hits.select("doc_id", "item_id", matched.alias("matched"), F.col("w").alias("compared")).groupBy("doc_id", "item_id")
+    best = best.agg(F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared"))
+    return best.where(F.col("matched") >= F.ceil(F.lit(need) * F.col("compared")))
