@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Fixed value: the English stop list of the analyzers.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with")
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with")
 
 
 def let(value: Column, use) -> Column:
@@ -24,15 +24,21 @@ def tokens(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(TOKEN), F.lit(0))
 
 
+def _filled(parts: Column) -> Column:
+    """How many of the parts of a text are not blank."""
+    return F.size(F.filter(parts, lambda p: p.rlike(r"\S")))
+
+
 def text_stats(text: Column) -> dict[str, Column]:
-    """Characters, words, sentences and paragraphs; non-blank texts have at least one of each of the last two."""
-    some = F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) > 0
+    """Characters, words, sentences and paragraphs: pieces that aren't blank, between terminators before blanks or the end, and between
+    blank lines. Texts that aren't blank have at least one of each of the last two."""
+    some = text.rlike(r"\S")
     floor1 = lambda c: F.when(some, F.greatest(c, F.lit(1))).otherwise(0).cast("long")
     return {
         "char_count": F.length(text).cast("long"),
         "word_count": F.when(some, F.regexp_count(text, F.lit(TOKEN))).otherwise(0).cast("long"),
-        "sentence_count": floor1(F.regexp_count(text, F.lit(r"[.!?]+(?=\s+|$)"))),
-        "paragraph_count": floor1(F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " "))) > 0))),
+        "sentence_count": floor1(_filled(F.split(text, r"[.!?]+(?=\s+|$)"))),
+        "paragraph_count": floor1(_filled(F.split(text, r"\n\s*\n"))),
     }
 
 
@@ -116,28 +122,73 @@ def count_bpe(vocabulary: str):
     return count
 
 
+#: The separators of the splitter, from the strongest; past the last one texts are cut hard.
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+
+
+def _cut(text: str, at: int, size: int, level: int = 0) -> list[tuple[int, int]]:
+    """(start, end) of pieces of at most `size` characters that together are the text, which begins at `at`. A piece ends behind the strongest
+    separator that its stretch holds; stretches still too long are cut at the next one."""
+    if len(text) <= size:
+        return [(at, at + len(text))] if text else []
+    while level < len(SEPARATORS) and SEPARATORS[level] not in text:
+        level += 1
+    if level == len(SEPARATORS):
+        return [(at + i, min(at + i + size, at + len(text))) for i in range(0, len(text), size)]
+    mark, out, start = SEPARATORS[level], [], 0
+    while start < len(text):
+        found = text.find(mark, start)
+        end = len(text) if found < 0 else found + len(mark)
+        out += _cut(text[start:end], at + start, size, level + 1)
+        start = end
+    return out
+
+
+def _carried(text: str, start: int, end: int, overlap: int) -> int:
+    """Where the chunk after text[start:end] begins: behind a separator near the requested overlap, from the strongest, and
+    between half and twice of it; exactly there if none lies so."""
+    n = end - start
+    if overlap <= 0:
+        return end
+    if overlap >= n:
+        return start
+    body, target = text[start:end], n - overlap
+    first, last = max(0, n - 2 * overlap), n - max(1, overlap // 2)
+    for mark in SEPARATORS:
+        places = [p + len(mark) for p in range(first, min(last, n)) if body.startswith(mark, p)]
+        if places:
+            return start + min(places, key=lambda p: abs(p - target))
+    return end - overlap
+
+
 def split_recursive(text: str, size: int, overlap: int = 0) -> list[tuple[int, int]]:
-    """(start, end) of chunks of at most `size` characters: cut at the last paragraph, line, sentence or word
-    end that fits, else hard; a chunk starts at a word, at most `overlap` characters before the last one's end."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(n, start + size)
-        if end < n:
-            for mark in ("\n\n", "\n", ". ", " "):
-                cut = text.rfind(mark, start + 1, end)
-                if cut > start:
-                    end = cut + len(mark)
-                    break
-        if text[start:end].strip():
-            out.append((start, end))
-        if end >= n:
-            break
-        back = max(end - overlap, start + 1)
-        words = [m.end() for m in re.finditer(r"\s+", text[back:end])] if overlap else []
-        start = back + words[0] if words and back + words[0] < end else end
+    """(start, end) of chunks: pieces of the separators are packed up to `size` characters, and a chunk begins with about `overlap`
+    characters of the one before. Blanks at either end are left out, and so are blank chunks."""
+    spans, start, end = [], 0, 0
+    for a, b in _cut(text, 0, size):
+        if end > start and b - start > size:
+            spans.append((start, end))
+            start = _carried(text, start, end, overlap)
+        end = b
+    spans.append((start, end))
+    out = []
+    for a, b in spans:
+        body = text[a:b]
+        if body.strip():
+            a += len(body) - len(body.lstrip())
+            out.append((a, a + len(body.strip())))
     return out
 
 
+SEPARATOR_LINE = "---"
+
+
+def metadata_block(fields: list[str]) -> Column:
+    """`field: value` lines of a row, in the order given and without nulls, and a line of dashes; empty without any."""
+    lines = F.concat_ws("\n", *(F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f).cast("string"))) for f in fields))
+    return F.when(lines == "", "").otherwise(F.concat(lines, F.lit(f"\n{SEPARATOR_LINE}\n")))
+
+
 def headings(text: str) -> list[tuple[int, str]]:
     return [(m.start(), m.group(2).strip()) for m in re.finditer(r"(?m)^(#{1,6})\s+(.+)$", text)]
 

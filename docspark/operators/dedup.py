@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-import zlib
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Members of a group whose similarities are computed together.
-PART = 512
+from docspark.functions.hashing import doc_word_hashes, mix, shingle_set
+from docspark.operators.components import components
+from docspark.operators.set_tiles import linked, node_of, packed
+from docspark.plans.storage import written
+
+#: Permutations of a signature, and its bands: two sets of similarity 0.8 share a band in all but 5 of 100,000 cases.
+PERMUTATIONS, BANDS, ROWS = 128, 25, 5
+_U = np.uint64
+_FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,52 +28,60 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return h.join(g, "h", "left").select(id_col, F.col("g").alias("duplicate_group"))
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """MinHash signatures of non-empty sets, (sets, PERMUTATIONS): all sets at once, a permutation at a time."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    return np.stack([np.minimum.reduceat(mix(flat * f), starts) for f in _FACTORS], 1)
+
+
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) hashes of the bands of signatures."""
+    key = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(signature), BANDS))
+    for r in range(ROWS):
+        key = mix(key * _U(0x9E3779B97F4A7C15) + signature[:, r : BANDS * ROWS : ROWS])
+    return key.view(np.int64)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, duplicate_group, similarity): texts link whose sets of k-word shingles have a Jaccard similarity of at least
-    `threshold`, in whole percent below 1; groups are the connected components of all links, under their least id.
+    """(id, duplicate_group): texts link whose sets of k-word shingles have a Jaccard similarity of at least
+    `threshold`, in whole percent; groups are the connected components of all links, under their least id.
 
-    The links come from the exact join of `llm/jaccard_join`; similarity is the Jaccard similarity to the least id of the
-    group, which may lie below the threshold where links chain. Rows of one id are one document; rows without id, and
-    texts without words, are in no group.
+    MinHash bands bring candidates together, and exact set similarity in tiles verifies them: first equal sets become one
+    class, then classes that share a band are searched against each other. Every row comes back, once for each time it came in;
+    those alike to no other have a null group. Rows without id, and texts without words, are alike to none.
     """
-    from docspark.llm.common import bitmap_of, doc_word_hashes, shingle_set, written
-    from docspark.llm.components import components
-    from docspark.llm.jaccard_join import BITS, jaccard_join, packed
-
     percent = 100 * Fraction(str(threshold))
-    if percent.denominator != 1 or not 0 < percent < 100:
-        raise ValueError(f"threshold must be in whole percent between 0 and 1: {threshold}")
+    if percent.denominator != 1 or not 0 < percent <= 100:
+        raise ValueError(f"threshold must be in whole percent above 0 and at most 1: {threshold}")
     kind = docs.schema[id_col].dataType
     key = F.col(id_col).cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
-    d = docs.select(key.alias("doc_id"), F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where("doc_id is not null")
-    found = jaccard_join(d.select("doc_id", "text"), k, int(percent)).where("n_shingles > 0 and doc_id <> component_id")
-    member = components(found, "doc_id", "component_id").select(F.col("node").alias("doc_id"), "component")
-    named = d.select("doc_id", "id").distinct().join(member, "doc_id")
-    least = named.groupBy("component").agg(F.min("id").alias("head"), F.ceil(F.count("*") / PART).alias("parts"))
-    # A head's text goes once to each part of its group, so that no group is gathered in one place.
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")
-    placed = written(named.join(least, "component").select("doc_id", "id", "head", part), "placed")
+    d = docs.select(key.alias("doc_id"), F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
 
     def run(batches):
-        last, heads = None, []
         for pdf in batches:
-            best = []
-            words = doc_word_hashes(zlib.decompress(x).decode("utf-8", "surrogatepass") for x in pdf["packed"].tolist())
-            for head, is_head, w in zip(pdf["head"].tolist(), pdf["is_head"].tolist(), words, strict=True):
-                x = shingle_set(w, k)
-                if head != last:
-                    last, heads = head, []
-                if is_head:  # these come before the other rows of the group
-                    heads.append(x)
-                inter = [len(np.intersect1d(x, y, assume_unique=True)) for y in heads]
-                best.append(max((i / max(1, len(x) + len(y) - i) for i, y in zip(inter, heads, strict=True)), default=0.0))
-            yield pdf[["id", "head"]].assign(similarity=best)
-
-    at = ["head", "part"]
-    texts = packed(d, bitmap_of(placed, "doc_id", BITS)).withColumnRenamed("least_id", "doc_id")
-    heads = placed.select(*at).distinct().join(placed.where("id = head").select("head", "doc_id"), "head")
-    sent = heads.select("doc_id", *at, F.col("head").alias("id"), F.lit(True).alias("is_head")).unionByName(placed.where("id <> head").select("doc_id", *at, "id", F.lit(False).alias("is_head")))
-    rows = sent.join(texts, "doc_id").select(*at, "id", "is_head", "packed")
-    name = kind.simpleString()
-    scored = rows.repartition(*at).sortWithinPartitions(*at, F.desc("is_head")).mapInPandas(run, f"id {name}, head {name}, similarity double")
-    return scored.groupBy("id", "head").agg(F.round(F.max("similarity"), 6).alias("similarity")).select(F.col("id").alias(id_col), F.col("head").alias("duplicate_group"), "similarity")
+            for at in range(0, len(pdf), 256):  # signatures of a few texts at once bound what is held
+                part = pdf.iloc[at : at + 256]
+                sets = [shingle_set(w, k) for w in doc_word_hashes(part["text"].tolist())]
+                some = [i for i, s in enumerate(sets) if len(s)]
+                if some:
+                    keys = band_keys(signatures([sets[i] for i in some])).tolist()
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(np.int64)[some], "node": [node_of(sets[i]) for i in some], "n": [len(sets[i]) for i in some], "bands": keys})
+
+    known = written(d.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id long, node long, n long, bands array<long>"), "signatures")
+    classes = known.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    lists = classes.select("node", F.explode("bands").alias("band"))
+    first = lists.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
+    group = components(lists.join(first, "band").select("a", F.col("node").alias("b")).distinct())
+    members = group.join(classes.select("node", "n"), "node").select(F.col("component").alias("group"), "node", "n", F.col("node").alias("label"), F.lit(False).alias("asks"))
+    members = written(members, "members")
+    texts = packed(d, members.select("node").join(classes.select("node", "least_id"), "node"))
+    same = known.select("doc_id", "node").distinct()
+    # Rows of equal sets are linked through their class, classes through the links found.
+    links = linked(members, texts, k, int(percent)) if percent < 100 else members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    reach = components(links.select("a", "b")).select("node", "component")
+    of = same.join(reach, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    named = d.select("doc_id", "id").distinct().join(of, "doc_id")
+    least = named.groupBy("component").agg(F.min("id").alias("duplicate_group"), F.count_distinct("id").alias("c")).where("c > 1").drop("c")
+    found = named.join(least, "component").groupBy("id").agg(F.min("duplicate_group").alias("duplicate_group"))
+    return docs.select(F.col(id_col)).join(found.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").select(id_col, "duplicate_group")

@@ -40,9 +40,9 @@ def vocabulary(counts: DataFrame, min_df: int = 1, max_df: float = 1.0, max_feat
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
-    """tf = count / tokens of the row, idf = ln((1 + n) / (1 + df)) + 1."""
+    """tf = count / tokens of the row that are in the vocabulary, idf = ln((1 + n) / (1 + df)) + 1."""
     total = F.sum("count").over(Window.partitionBy("row_id"))
-    f = counts.withColumn("tf", F.col("count") / total).join(vocab, "term")
+    f = counts.join(vocab, "term").withColumn("tf", F.col("count") / total)
     f = f.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
     return f.select("row_id", "term", "term_index", "count", F.round("tf", 9).alias("tf"), F.round("idf", 9).alias("idf"), F.round(F.col("tf") * F.col("idf"), 9).alias("tfidf"))
 
@@ -102,7 +102,7 @@ def ctfidf(counts: DataFrame, clusters: DataFrame, top: int = 10) -> DataFrame:
 
 
 def coherence(top: DataFrame, counts: DataFrame, group: str = "cluster") -> DataFrame:
-    """UMass coherence: mean of ln((D(a, b) + 1) / D(a)) over the pairs of a group's top terms, a ranked before b.
+    """UMass coherence: mean of ln((D(a, b) + 1) / (D(a) + 1)) over the pairs of a group's top terms, a ranked before b.
 
     `top` holds a bounded number of ranked terms a group; D counts the documents of `counts` that have the terms.
     """
@@ -113,7 +113,7 @@ def coherence(top: DataFrame, counts: DataFrame, group: str = "cluster") -> Data
     both = pairs.select("a", "b").distinct().join(seen.withColumnRenamed("term", "a"), "a").join(seen.withColumnRenamed("term", "b"), ["row_id", "b"])
     both = both.groupBy("a", "b").agg(F.count("*").alias("both"))
     scored = pairs.join(both, ["a", "b"], "left").join(df.withColumnRenamed("term", "a"), "a")
-    return scored.groupBy(group).agg(F.count("*").alias("pairs"), F.round(F.avg(F.log((F.coalesce("both", F.lit(0)) + 1) / F.col("df"))), 6).alias("umass"))
+    return scored.groupBy(group).agg(F.count("*").alias("pairs"), F.round(F.avg(F.log((F.coalesce("both", F.lit(0)) + 1) / (F.col("df") + 1))), 6).alias("umass"))
 
 
 def inertia(clustered: DataFrame) -> DataFrame:
@@ -123,8 +123,10 @@ def inertia(clustered: DataFrame) -> DataFrame:
 
 def centroids(vectors: DataFrame, cluster: str = "label", column: str = "embedding") -> DataFrame:
     """(cluster, center): the mean of each dimension over a cluster's vectors, summed partially before the shuffle."""
-    cells = vectors.select(F.col(cluster).alias("cluster"), F.posexplode(column).alias("at", "x")).groupBy("cluster", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("center"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vectors.select(F.col(cluster).alias("cluster"), array_to_vector(column).alias("v")).groupBy("cluster").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("center"))
 
 
 def distances(vectors: DataFrame, centers: DataFrame, cluster: str = "label", column: str = "embedding", id_col: str = "vec_id") -> DataFrame:
@@ -134,6 +136,43 @@ def distances(vectors: DataFrame, centers: DataFrame, cluster: str = "label", co
     return rows.select(id_col, "cluster", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda a, b: a + b)).alias("distance"))
 
 
+def silhouette(vectors: DataFrame, cluster: str = "label", column: str = "embedding") -> DataFrame:
+    """(cluster, size, silhouette): mean silhouette by squared Euclidean distance. Sums of the vectors and of their squares of
+    each cluster give the mean distance of a row to each cluster, so no two rows are paired; clusters of one row score 0."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = vectors.select(F.col(cluster).alias("cluster"), F.col(column).alias("e"), square(column).alias("q"))
+    sums = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("q").alias("q"), vector_to_array(Summarizer.mean(array_to_vector("e"))).alias("m"))
+    every = sums.agg(F.collect_list(F.struct("cluster", "n", "q", "m"))).scalar()  # one entry a cluster
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = rows.withColumn("all", every).select("cluster", F.transform("all", lambda c: F.struct(c["cluster"].alias("of"), c["n"].alias("n"), (F.col("q") + c["q"] - 2 * dot("e", c["m"])).alias("d"))).alias("to"))
+    own = F.get(F.filter("to", lambda c: c["of"] == F.col("cluster")), F.lit(0))
+    a, b = own["d"] * own["n"] / (own["n"] - 1), F.array_min(F.transform(F.filter("to", lambda c: c["of"] != F.col("cluster")), lambda c: c["d"]))
+    value = F.when(own["n"] > 1, (b - a) / F.greatest(a, b)).otherwise(0.0)
+    return apart.select("cluster", value.alias("s")).groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("s"), 6).alias("silhouette"))
+
+
+def dbscan(vectors: DataFrame, eps: float, min_samples: int = 5, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(id, cluster): density clusters by Euclidean distance, exactly; cluster is the least id of a core row reached, null for noise.
+
+    Rows go to the executors in blocks and each batch finds its neighbours in a block; only pairs within eps leave it. Core rows
+    have at least `min_samples` rows within eps, themselves included; a border row joins the least cluster that reaches it.
+    """
+    from docspark.operators.components import components
+    from docspark.operators.retrieval import within
+
+    near = within(vectors.select(F.col(id_col).alias("query_id"), F.col(column).alias("v")), vectors.select(F.col(id_col).alias("row_id"), F.col(column).alias("v")), eps)
+    core = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("query_id").alias("core"))
+    edges = near.join(core, F.col("query_id") == F.col("core")).select(F.col("core").alias("a"), F.col("row_id").alias("b"))
+    both = edges.join(core, F.col("b") == F.col("core"), "left_semi")
+    group = core.join(components(both), F.col("core") == F.col("node"), "left").select("core", F.coalesce("component", "core").alias("group"))
+    of = edges.join(group, F.col("a") == F.col("core")).groupBy("b").agg(F.min("group").alias("reached"))
+    of = of.join(group, F.col("b") == F.col("core"), "left").select("b", F.coalesce("group", "reached").alias("cluster"))
+    return vectors.select(id_col).join(of, F.col(id_col) == F.col("b"), "left").select(id_col, "cluster")
+
+
 def kmeans(vectors: DataFrame, k: int, seed: int = 7, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(id, cluster, distance to the centroid)."""
     from pyspark.ml.clustering import KMeans

@@ -1,4 +1,4 @@
-"""Named data-quality tests. Each returns a one-row plan (test, failures, measure); `failing` keeps rows to store."""
+"""Named data-quality tests. Each returns a one-row plan (test, failures, measure)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.plans.storage import written
+
 
 def _row(df: DataFrame, test: str, failures: Column, measure: Column | None = None) -> DataFrame:
     """One row: failures (bigint) and measure (double, rounded)."""
@@ -70,8 +72,9 @@ def null_rate(df: DataFrame, column: str, most: float) -> DataFrame:
 
 
 def grounded_in(df: DataFrame, column: str, source: str) -> DataFrame:
-    """Values that the source text does not contain, whatever the case; nulls pass."""
-    return _row(df, "grounded_in", _count(~F.contains(F.lower(source), F.lower(column))))
+    """Values, without blanks around them, that the source text does not contain, whatever the case; nulls and blank values pass."""
+    value = F.lower(F.regexp_replace(column, r"^\s+|\s+$", ""))
+    return _row(df, "grounded_in", _count((value != "") & ~F.contains(F.lower(source), value)))
 
 
 def fuzzy_grounded(least: float = 0.85):
@@ -105,15 +108,34 @@ def _norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def embedding_valid(df: DataFrame, column: str, dim: int, least_norm: float = 1e-6, most_norm: float = 1e6) -> DataFrame:
+def embedding_valid(df: DataFrame, column: str, dim: int | None = None, least_norm: float | None = None, most_norm: float | None = None, most_zero: float = 0.0) -> DataFrame:
+    """Vectors of a wrong dimension, with entries that aren't finite, or with a norm out of bounds; and zero vectors, if their share is above
+    `most_zero`. Null vectors are skipped."""
     v = F.col(column)
-    wrong = v.isNull() | (F.size(v) != dim) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return _row(df, "embedding_valid", _count(wrong | ~_norm(v).between(least_norm, most_norm)))
+    wrong = F.lit(False) if dim is None else F.size(v) != dim
+    wrong = wrong | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    low = F.lit(False) if least_norm is None else F.col("norm") < least_norm
+    high = F.lit(False) if most_norm is None else F.col("norm") > most_norm
+    d = df.where(v.isNotNull()).select(wrong.alias("wrong"), _norm(v).alias("norm"))
+    bad, zero = F.col("wrong") | low | high, ~F.col("wrong") & (F.col("norm") == 0)
+    zeros = F.when(_count(zero) > most_zero * F.count("*"), _count(zero & ~bad)).otherwise(0)
+    return _row(d, "embedding_valid", _count(bad) + zeros)
+
+
+def _vectors(df: DataFrame, column: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.where(F.col(column).isNotNull()).select(array_to_vector(column).alias("v"))
 
 
 def embedding_variance(df: DataFrame, column: str, least: float) -> DataFrame:
-    d = df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.var_pop(F.col("x").cast("double")).alias("v"))
-    return _bounded("embedding_variance", d, F.avg("v"), least, None)
+    """The mean population variance of the dimensions, summed up row by row."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    s = _vectors(df, column).agg(vector_to_array(Summarizer.variance(F.col("v"))).alias("v"), F.count("*").alias("n"))
+    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v") * (F.col("n") - 1) / F.col("n")
+    return _bounded("embedding_variance", s.select(mean.alias("mean")), F.max("mean"), least, None)
 
 
 def embedding_duplicates(df: DataFrame, column: str, most: float) -> DataFrame:
@@ -123,9 +145,12 @@ def embedding_duplicates(df: DataFrame, column: str, most: float) -> DataFrame:
 
 def embedding_outliers(df: DataFrame, column: str, z: float = 3.0) -> DataFrame:
     """Rows farther from the centroid than the mean distance plus z standard deviations."""
-    d = df.select(F.monotonically_increasing_id().alias("r"), column).select("r", F.posexplode(column).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    center = d.groupBy("i").agg(F.avg("x").alias("c"))
-    dist = d.join(center, "i").groupBy("r").agg(F.sqrt(F.sum((F.col("x") - F.col("c")) ** 2)).alias("d"))
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    center = _vectors(df, column).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("c")).scalar()
+    apart = F.aggregate(F.zip_with(column, "c", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
+    dist = df.where(F.col(column).isNotNull()).withColumn("c", center).select(F.sqrt(apart).alias("d"))
     limit = dist.agg(F.avg("d") + z * F.stddev_pop("d")).scalar()
     return _row(dist.withColumn("limit", limit), "embedding_outliers", _count(F.col("d") > F.col("limit")))
 
@@ -139,8 +164,9 @@ def column_stat(df: DataFrame, column: str, stat: str, least: float | None = Non
 
 
 def cardinality(df: DataFrame, column: str, least: float | None = None, most: float | None = None, ratio: bool = False) -> DataFrame:
+    """Distinct values that aren't null; with `ratio`, divided by all rows."""
     n = F.countDistinct(column)
-    return _bounded("cardinality", df, (n / F.count(column) if ratio else n).cast("double"), least, most)
+    return _bounded("cardinality", df, (n / F.count("*") if ratio else n).cast("double"), least, most)
 
 
 def outlier_rate(df: DataFrame, column: str, most: float, method: str = "iqr", k: float | None = None) -> DataFrame:
@@ -167,9 +193,14 @@ def drift(baseline: DataFrame, current: DataFrame, column: str, method: str, mos
     if method == "ks":
         both = b.select(F.col("v").cast("double").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(c.select(F.col("v").cast("double"), F.lit(0), F.lit(1)))
         g = both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-        w = Window.orderBy("v")
-        every = Window.partitionBy()
-        gap = g.select(F.abs(F.sum("x").over(w) / F.sum("x").over(every) - F.sum("y").over(w) / F.sum("y").over(every)).alias("d"))
+        # Ranges of values are summed up, the sums of the ranges (one row a partition) in order, then values inside each range.
+        g = written(g.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+        parts = g.groupBy("part").agg(F.sum("x").alias("px"), F.sum("y").alias("py"))
+        every, before = Window.partitionBy(), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        parts = parts.select("part", ahead("px").alias("ax"), ahead("py").alias("ay"), F.sum("px").over(every).alias("tx"), F.sum("py").over(every).alias("ty"))
+        w = Window.partitionBy("part").orderBy("v")
+        gap = g.join(F.broadcast(parts), "part").select(F.abs((F.col("ax") + F.sum("x").over(w)) / F.col("tx") - (F.col("ay") + F.sum("y").over(w)) / F.col("ty")).alias("d"))
         return _bounded("drift_ks", gap, F.max("d"), None, most)
     if numeric:
         edges = [float(x) for x in b.agg(F.percentile(F.col("v").cast("double"), F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("e")).first().e or []]
@@ -187,15 +218,13 @@ def drift(baseline: DataFrame, current: DataFrame, column: str, method: str, mos
     every = Window.partitionBy()
     j = j.withColumn("tb", F.sum("nb").over(every)).withColumn("tc", F.sum("nc").over(every)).withColumn("p", F.col("nb") / F.col("tb")).withColumn("q", F.col("nc") / F.col("tc"))
     if method == "psi":
-        p, q = F.greatest("p", F.lit(1e-6)), F.greatest("q", F.lit(1e-6))
-        value = F.sum((F.col("q") - F.col("p")) * F.log(q / p))
+        value = F.sum((F.col("q") - F.col("p")) * F.log((F.col("q") + 1e-6) / (F.col("p") + 1e-6)))
     elif method == "js":
         m = (F.col("p") + F.col("q")) / 2
         half = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0)
         value = F.sum((half("p") + half("q")) / 2)
     else:
-        expected = F.col("p") * F.col("tc")
-        value = F.sum(F.when(expected > 0, (F.col("nc") - expected) ** 2 / expected).otherwise(0.0))
+        value = F.max("tc") * F.sum((F.col("q") - F.col("p")) ** 2 / (F.col("p") + 1e-12))  # a new category fails hard
     return _bounded(f"drift_{method}", j, value, None, most)
 
 

@@ -1,5 +1,7 @@
 """Edge cases of single operators, with expectations worked out by hand."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,15 +16,26 @@ from docspark.streaming import events
 def test_text_stats_of_blank_text(spark):
     d = spark.createDataFrame([("",), ("   ",), ("One. Two!\n\nThree",)], "t string")
     got = d.select(*(c.alias(k) for k, c in tx.text_stats(F.col("t")).items())).collect()
-    assert [tuple(r) for r in got] == [(0, 0, 0, 0), (3, 0, 0, 0), (16, 3, 2, 2)]
+    assert [tuple(r) for r in got] == [(0, 0, 0, 0), (3, 0, 0, 0), (16, 3, 3, 2)]
 
 
-def test_split_recursive_covers_text():
+def test_split_recursive():
     text = "alpha beta. " * 50 + "\n\n" + "gamma delta " * 50
     parts = tx.split_recursive(text, 100)
-    assert "".join(text[a:b] for a, b in parts) == text and all(b - a <= 100 for a, b in parts)
-    for (_, end), (start, _) in zip(tx.split_recursive(text, 100, 20), tx.split_recursive(text, 100, 20)[1:]):
-        assert end - 20 <= start <= end and text[start - 1].isspace()
+    cut = lambda t, *a: [t[x:y] for x, y in tx.split_recursive(t, *a)]
+    assert " ".join(cut(text, 100)).split() == text.split() and all(b - a <= 100 for a, b in parts)
+    assert all(a == a.strip() for a in cut(text, 100))
+    assert cut("aaaa bbbb cccc", 10) == ["aaaa bbbb", "cccc"] and cut("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5] and cut("  \n ", 3) == []
+    # An overlap above the chunk carries all of it.
+    assert cut("one two\n\nthree four five six", 24, 12) == ["one two", "one two\n\nthree four five six"]
+    # The overlap snaps to the word end nearest to it, between half and twice of it.
+    assert cut("aaa bbb ccc ddd eee fff", 16, 6) == ["aaa bbb ccc ddd", "ccc ddd eee fff"]
+    assert cut("x" * 30, 20, 4) == ["x" * 20, "x" * 14]
+
+
+def test_metadata_block(spark):
+    d = spark.createDataFrame([("a", 1), (None, 2), (None, None)], "t string, n int")
+    assert [r[0] for r in d.select(tx.metadata_block(["t", "n"])).collect()] == ["t: a\nn: 1\n---\n", "n: 2\n---\n", ""]
 
 
 def test_clean_encoding(spark):
@@ -64,10 +77,41 @@ def test_drift_extremes(spark):
     a, b = spark.range(100).selectExpr("double(id) v"), spark.range(100).selectExpr("double(id + 1000) v")
     assert quality.drift(a, b, "v", "ks", 0.5).first().measure == 1.0
     assert quality.drift(a, a, "v", "psi", 0.1).first().measure == 0.0
+    c, d = spark.createDataFrame([("x",)] * 10, "v string"), spark.createDataFrame([("x",)] * 5 + [("y",)] * 5, "v string")
+    assert quality.drift(c, d, "v", "chi2", 5.0, numeric=False).first().measure > 1e12  # a new category
+    assert quality.drift(c, d, "v", "psi", 5.0, numeric=False).first().measure == round(-0.5 * math.log(0.500001 / 1.000001) + 0.5 * math.log(0.500001 / 1e-6), 6)
     flat = spark.range(10).selectExpr("1.0D v")
     assert quality.drift(flat, b, "v", "js", 0.1).first().measure == 1.0
 
 
+def test_checks_by_hand(spark):
+    vec = spark.createDataFrame([([3.0, 4.0],), (None,), ([5.0, 12.0],), ([0.0, 0.0],), ([1.0],), ([1.0, float("nan")],)], "v array<double>")
+    assert quality.embedding_valid(vec.limit(2), "v").first().failures == 0
+    assert quality.embedding_valid(vec, "v", 2, 1.0, 10.0).first().failures == 4
+    assert quality.embedding_valid(vec, "v", 2, most_zero=0.5).first().failures == 2 and quality.embedding_valid(vec, "v", 2).first().failures == 3
+    some = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "v string")
+    assert quality.cardinality(some, "v", ratio=True).first().measure == 0.5
+    said = spark.createDataFrame([("  Due ", "amount due"), ("", "x"), (" ", "x"), ("no", "yes"), (None, "x")], "v string, s string")
+    assert quality.grounded_in(said, "v", "s").first().failures == 1
+
+
+def test_tfidf_and_coherence_by_hand(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (1, "z", 7), (2, "a", 1)], "row_id long, term string, count long")
+    vocab = spark.createDataFrame([("a", 2, 0), ("b", 1, 1)], "term string, df long, term_index long")
+    got = {(r.row_id, r.term): (r.tf, r.idf) for r in ml.tfidf(counts, vocab, 2).collect()}
+    assert got == {(1, "a"): (round(2 / 3, 9), 1.0), (1, "b"): (round(1 / 3, 9), round(math.log(1.5) + 1, 9)), (2, "a"): (1.0, 1.0)}
+    top = spark.createDataFrame([(0, 0, "a"), (0, 1, "b")], "cluster int, rank int, term string")
+    assert ml.coherence(top, counts).first().umass == round(math.log(2 / 3), 6)
+
+
+def test_hits_and_limits(spark):
+    assert [retrieval.candidate_limit(n) for n in (1, 20, 1000)] == [50, 80, 1000]
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, v array<double>")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "row_id long, v array<double>")
+    assert [(r.query_id, r.row_id) for r in retrieval.vector_topk(q, rows, 1).collect()] == [(1, 1)]
+    assert retrieval.vector_topk(q, rows, 5, exclude_self=True).count() == 1
+
+
 def test_outlier_rate_needs_four_values(spark):
     assert quality.outlier_rate(spark.createDataFrame([(1.0,), (2.0,), (900.0,)], "v double"), "v", 0.0).first().failures == 0
 
@@ -80,7 +124,7 @@ def test_fuzzy_grounding(spark):
 def test_near_duplicates(spark):
     base = " ".join(f"w{i}" for i in range(100))
     docs = spark.createDataFrame([(1, base), (2, base + " tail"), (3, "something else entirely here now"), (4, ""), (5, base)], "doc_id long, text string")
-    assert {r.doc_id: r.duplicate_group for r in dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 5: 1}
+    assert {r.doc_id: r.duplicate_group for r in dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: None, 4: None, 5: 1}
     assert {r.doc_id: r.duplicate_group for r in dedup.exact_groups(docs).collect()} == {1: 1, 2: None, 3: None, 4: None, 5: 1}
 
 
@@ -98,12 +142,13 @@ def test_near_duplicates_against_brute_force(spark):
     for _ in texts:
         for a in texts:
             group[a] = min([group[b] for b in texts if like(a, b) >= 0.8] + [group[a]])
-    want = {i: (g, round(like(i, g), 6)) for i, g in group.items() if list(group.values()).count(g) > 1}
-    assert want[31][0] == 20 and want[5][0] == 2 and 1 not in want and want[11] == (10, 1.0)
+    want = {i: g if list(group.values()).count(g) > 1 else None for i, g in group.items()}
+    assert want[31] == 20 and want[5] == 2 and want[1] is None and want[11] == 10
     for kind in ("long", "string"):
         docs = spark.createDataFrame(list(texts.items()) * 2 + [(None, texts[2])], "doc_id long, text string").withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 2, "0") if kind == "string" else F.col("doc_id"))
-        got = [(int(r.doc_id), int(r.duplicate_group), r.similarity) for r in dedup.near_duplicates(docs).collect()]
-        assert sorted(got) == sorted((i, *w) for i, w in want.items())
+        number = lambda x: None if x is None else int(x)
+        got = [(number(r.doc_id), number(r.duplicate_group)) for r in dedup.near_duplicates(docs).collect()]
+        assert sorted(got, key=str) == sorted([*want.items()] * 2 + [(None, None)], key=str)
 
 
 def test_retrieval_metrics_of_empty_and_unlabelled(spark):
