@@ -58,3 +58,27 @@ def reuse_vectors(rows: DataFrame, known: DataFrame, embed) -> DataFrame:
     old = rows.join(known.select(*keys, "embedding"), keys)
     new = rows.join(known.select(*keys), keys, "left_anti").withColumn("embedding", embed(F.col("text")))
     return old.unionByName(new)
+
+
+def merge_counts(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (inserted, updated) of what an upsert of rows into target would do."""
+    known = target.select(*keys).distinct().withColumn("__known", F.lit(1))
+    return rows.join(known, keys, "left").agg(F.sum(F.col("__known").isNull().cast("long")).alias("inserted"), F.sum(F.col("__known").isNotNull().cast("long")).alias("updated"))
+
+
+def append_log(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """log with rows appended by name; new columns widen it, columns that rows lack are null, and a changed type is refused."""
+    have = dict(log.dtypes)
+    clash = sorted(c for c, kind in rows.dtypes if c in have and have[c] != kind)
+    if clash:
+        raise ValueError(f"a log keeps its types: {clash}")
+    return log.unionByName(rows, allowMissingColumns=True)
+
+
+def transform_children(parents: DataFrame, state: DataFrame, children: DataFrame, make, parent: str) -> tuple[DataFrame, DataFrame]:
+    """(children, state) after a run: parents (record_key, input_fingerprint, code_version, ...) that are new or changed are made
+    anew by `make`, the children of those and of removed parents give way, and the state names what the children come from."""
+    todo = classify(parents, state).where("status <> 'unchanged'").drop("status")
+    gone = removed(parents, state).select("record_key").union(todo.select("record_key")).select(F.col("record_key").alias(parent))
+    kept = ["record_key", "input_fingerprint", "code_version"]
+    return replace_children(children, make(todo), gone, parent), parents.select(*kept)

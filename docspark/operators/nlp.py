@@ -134,3 +134,38 @@ def concepts(links: DataFrame, top_n: int) -> DataFrame:
     """links(canonical_id, document_id, status, score): frequency, documents, any ambiguity and best score; the top_n."""
     c = links.where("canonical_id is not null").groupBy("canonical_id").agg(F.count("*").alias("frequency"), F.countDistinct("document_id").alias("documents"), F.bool_or(F.col("status") == "ambiguous").alias("ambiguous"), F.max("score").alias("score"))
     return c.orderBy(F.desc("frequency"), "canonical_id").limit(top_n)
+
+
+def vector_links(mentions: DataFrame, aliases: DataFrame, threshold: float, margin: float = 0.0) -> DataFrame:
+    """mentions(entity_id, embedding) to the aliases(entity_namespace, canonical_id, embedding) of cosine at least `threshold`: per namespace the
+    best and what lies within `margin` of it. Aliases are a reference set and go to the executors; mentions are read where they lie."""
+    from docspark.operators.retrieval import cosine
+
+    a = aliases.select("entity_namespace", "canonical_id", F.col("embedding").alias("__v")).where("__v is not null")
+    scored = mentions.where("embedding is not null").join(F.broadcast(a), cosine(F.col("embedding"), F.col("__v")) >= threshold)
+    scored = scored.select("entity_id", "entity_namespace", "canonical_id", cosine(F.col("embedding"), F.col("__v")).alias("score"))
+    best = scored.groupBy("entity_id", "entity_namespace", "canonical_id").agg(F.round(F.max("score"), 9).alias("score"))
+    return resolve_candidates(best, margin)
+
+
+def refuse_ambiguous(links: DataFrame) -> DataFrame:
+    """links, unless a mention is ambiguous: then an error that names five of them at most."""
+    some = sorted(str(r[0]) for r in links.where("status = 'ambiguous'").select("entity_id").distinct().limit(5).collect())
+    if some:
+        raise ValueError(f"ambiguous mentions: {some}")
+    return links
+
+
+def capped_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """pairs, unless a document has more than `most`: then an error, so that none is dropped unseen."""
+    over = pairs.groupBy("document_id").count().where(F.col("count") > most).limit(1).collect()
+    if over:
+        raise ValueError(f"document {over[0][0]} has {over[0][1]} pairs; at most {most} are allowed")
+    return pairs
+
+
+def reference_fingerprint(aliases: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (fingerprint, rows) of a reference set, whatever its order and repeats: digests of rows summed up in two ways."""
+    h = aliases.select(*columns).distinct().select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("h"))
+    part = lambda i: F.conv(F.substring("h", i, 15), 16, 10).cast("decimal(38,0)")
+    return h.agg(F.sha2(F.concat_ws("/", F.sum(part(1)), F.sum(part(16)), F.count("*")), 256).alias("fingerprint"), F.count("*").alias("rows"))

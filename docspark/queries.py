@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
-from docspark.operators import dedup, incremental, ml, nlp, quality, relational, retrieval
+from docspark.operators import dedup, features, incremental, ml, nlp, providers, quality, relational, retrieval
 from docspark.plans import sql_models
 from docspark.session import table
 from docspark.sources import files
@@ -772,3 +772,99 @@ def drift_categories(spark, d):
 def quality_report(spark, d):
     o = table(spark, d, "orders")
     return _Q.with_severity(_Q.report([_Q.not_null(o, ["o_orderkey"]), _Q.accepted_range(o, "o_totalprice", 1000)]), "warn")
+
+
+@query(
+    f"""WITH {_TOKENS_SQL}, p AS (SELECT document_id, CASE WHEN is_stop THEN 'STOP' WHEN is_alpha THEN 'WORD' ELSE 'OTHER' END AS pos FROM t),
+f AS (SELECT document_id, count(*) AS n, count(*) FILTER (pos = 'STOP') AS s, count(*) FILTER (pos = 'WORD') AS w FROM p GROUP BY document_id)
+SELECT doc_id AS document_id, coalesce(n, 0) AS token_count, coalesce(s, 0) AS pos_stop_count, coalesce(w, 0) AS pos_word_count, CASE WHEN n > 0 THEN round(s / n, 9) END AS pos_stop_ratio, CASE WHEN n > 0 THEN round(w / n, 9) END AS pos_word_ratio FROM documents LEFT JOIN f ON document_id = doc_id"""
+)
+def pos_features(spark, d):
+    t = _sentences(spark, d).withColumn("pos", F.when(F.col("is_stop"), "STOP").when(F.col("is_alpha"), "WORD").otherwise("OTHER"))
+    return features.pos_features(t, table(spark, d, "documents").select(F.col("doc_id").alias("document_id")), ["STOP", "WORD"])
+
+
+@query(f"WITH x AS ({ORACLE['nlp_entities']}), f AS (SELECT document_id, count(*) AS n, count(*) FILTER (label = 'number') AS a, count(*) FILTER (label = 'host') AS b FROM x GROUP BY document_id) SELECT doc_id AS document_id, coalesce(n, 0) AS entity_count, coalesce(a, 0) AS entity_number_count, coalesce(b, 0) AS entity_host_count FROM documents LEFT JOIN f ON document_id = doc_id")
+def entity_features(spark, d):
+    return features.entity_features(nlp_entities(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("document_id")), ["number", "host"])
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS document_id, l_returnflag AS ns, CASE WHEN l_quantity >= 5 THEN l_partkey % 3 END AS id, CASE WHEN l_quantity < 5 THEN 'unmatched' WHEN l_linenumber > 4 THEN 'ambiguous' ELSE 'matched' END AS status FROM lineitem),
+f AS (SELECT document_id, count(DISTINCT id) FILTER (ns = 'A') AS a, count(DISTINCT id) FILTER (ns = 'N') AS n, count(*) FILTER (status = 'matched') AS m, count(*) FILTER (status = 'unmatched') AS u FROM l GROUP BY document_id)
+SELECT o_orderkey AS document_id, coalesce(a, 0) AS link_a_count, coalesce(n, 0) AS link_n_count, coalesce(m, 0) AS link_matched_count, coalesce(u, 0) AS link_unmatched_count FROM orders LEFT JOIN f ON document_id = o_orderkey"""
+)
+def link_features(spark, d):
+    status = F.when(F.col("l_quantity") < 5, "unmatched").when(F.col("l_linenumber") > 4, "ambiguous").otherwise("matched")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_returnflag").alias("entity_namespace"), F.when(F.col("l_quantity") >= 5, F.col("l_partkey") % 3).alias("canonical_id"), status.alias("status"))
+    return features.link_features(li, table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id")), ["A", "N"], ["matched", "unmatched"])
+
+
+@query("SELECT l_orderkey AS document_id FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1 OR count(DISTINCT l_linestatus) > 1")
+def identity_conflicts(spark, d):
+    return features.single_identity(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "document_id"), ["l_returnflag", "l_linestatus"])[1]
+
+
+@query("WITH i AS (SELECT l_orderkey, min(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1) SELECT l_orderkey AS document_id FROM i JOIN orders ON o_orderkey = l_orderkey WHERE f <> CASE WHEN o_orderstatus = 'F' THEN 'R' ELSE 'N' END")
+def identity_reconciliation(spark, d):
+    left = features.single_identity(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "document_id").select("document_id", "l_returnflag"), ["l_returnflag"])[0]
+    right = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "R").otherwise("N").alias("l_returnflag"))
+    return features.identity_mismatches(left, right, ["l_returnflag"])
+
+
+@query(f"WITH {_STATE_SQL} SELECT count(*) FILTER (record_key NOT IN (SELECT record_key FROM st)) AS inserted, count(*) FILTER (record_key IN (SELECT record_key FROM st)) AS updated FROM cur")
+def incremental_counts(spark, d):
+    cur, st = _state(spark, d)
+    return incremental.merge_counts(st, cur, ["record_key"])
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, NULL::DOUBLE AS total FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders WHERE o_orderkey % 2 = 1")
+def append_log_widened(spark, d):
+    o = table(spark, d, "orders")
+    old = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return incremental.append_log(old, o.where("o_orderkey % 2 = 1").select(F.col("o_totalprice").alias("total"), F.col("o_orderkey").alias("id")))
+
+
+@query(
+    f"""WITH {_STATE_SQL}, u AS (SELECT record_key FROM cur JOIN st USING (record_key) WHERE cur.input_fingerprint = st.input_fingerprint)
+SELECT record_key AS parent, record_key || '/' || i AS child, CASE WHEN record_key IN (FROM u) THEN 'kept' ELSE 'made' END AS origin FROM cur, (VALUES (0), (1)) x(i)"""
+)
+def transform_children(spark, d):
+    cur, st = _state(spark, d)
+    made = lambda p, origin: p.select(F.col("record_key").alias("parent"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select("parent", F.concat_ws("/", "parent", F.col("i").cast("string")).alias("child"), F.lit(origin).alias("origin"))
+    return incremental.transform_children(cur, st, made(st, "kept"), lambda p: made(p, "made"), "parent")[0]
+
+
+@query(
+    """WITH m AS (SELECT vec_id AS entity_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 3 <> 0), r AS (SELECT 'L' || label AS entity_namespace, vec_id AS canonical_id, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 30 = 0),
+s AS (SELECT entity_id, entity_namespace, canonical_id, round(list_cosine_similarity(a, b), 9) AS score FROM m, r WHERE list_cosine_similarity(a, b) >= 0.2), k AS (SELECT *, max(score) OVER (PARTITION BY entity_id, entity_namespace) AS top FROM s)
+SELECT entity_id, entity_namespace, canonical_id, score, CASE WHEN count(*) OVER (PARTITION BY entity_id, entity_namespace) > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM k WHERE score >= top - 0.05::DOUBLE"""
+)
+def entity_links_vector(spark, d):
+    e = table(spark, d, "embeddings")
+    refs = e.where("vec_id % 30 = 0").select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("entity_namespace"), F.col("vec_id").alias("canonical_id"), "embedding")
+    return nlp.vector_links(e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("entity_id"), "embedding"), refs, 0.2, 0.05)
+
+
+@query()
+def chunk_model(spark, d):
+    docs = table(spark, d, "documents").withColumn("block", tx.metadata_block(["lang", "source"]))
+    return providers.chunk_model(docs, 800, 80, metadata="block")
+
+
+@query()
+def embed_model(spark, d):
+    return providers.embed_model(table(spark, d, "benchmark"), providers.Deterministic(), 16, id_col="item_id")
+
+
+_ANSWER = {"type": "object", "properties": {"topic": {"type": "string", "enum": ["prose", "code", "junk"]}, "year": {"type": "integer"}, "score": {"type": "number"}, "public": {"type": "boolean"}, "note": {"type": "string"}}}
+
+
+@query()
+def llm_model(spark, d):
+    return providers.llm_model(table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"), providers.Deterministic(), _ANSWER)
+
+
+@query()
+def llm_model_many(spark, d):
+    return providers.llm_model(table(spark, d, "benchmark"), providers.Deterministic(), {"type": "object", "properties": {"items": {"type": "array", "items": _ANSWER}}}, id_col="item_id", many="items")

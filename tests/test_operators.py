@@ -1,12 +1,13 @@
 """Edge cases of single operators, with expectations worked out by hand."""
 
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
-from docspark.operators import dedup, incremental, ml, nlp, quality, relational, retrieval
+from docspark.operators import dedup, features, incremental, ml, nlp, providers, quality, relational, retrieval
 from docspark.plans.sql_models import ModelGraph, build, compile_sql, refs, single_select
 from docspark.plans.versioned import VersionedTable
 from docspark.sources import files
@@ -228,3 +229,64 @@ def test_stream_matches_batch(spark, tmp_path):
     q = events.watch(spark, str(tmp_path / "in"), src.schema, lambda df, i: seen.append(df.count()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sum(seen) == src.count()
+
+
+def test_deterministic_provider():
+    p = providers.Deterministic("m")
+    digest = lambda place, n: hashlib.blake2b(f"m\0text\0{place}".encode(), digest_size=n).digest()
+    number = lambda place: int.from_bytes(digest(place, 8), "big")
+    schema = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"enum": ["x", "y", "z"]}, "c": {"type": "array", "items": {"type": "boolean"}}, "d": {}, "e": {"type": "number"}}}
+    got = p.complete("text", schema)
+    assert got["a"] == number(".a") % 1000 and got["b"] == "xyz"[number(".b") % 3] and got["c"] == [bool(number(f".c[{i}]") & 1) for i in (0, 1)]
+    assert got["d"] == "det-" + digest(".d", 8).hex()[:8] and got["e"] == round(number(".e") % 100000 / 100, 2)
+    (v,) = p.embed(["text"], 40)
+    raw = [b / 127.5 - 1 for b in (digest("0", 32) + digest("1", 32))[:40]]
+    assert math.isclose(sum(x * x for x in v), 1) and math.isclose(v[33] / v[0], raw[33] / raw[0])
+
+
+def test_chunk_and_embed_models(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "b: 1\n---\n"), (2, "", ""), (3, None, None)], "doc_id long, text string, block string")
+    chunks = providers.chunk_model(docs, 22, 0, metadata="block").orderBy("chunk_index").collect()
+    assert [(c.document_id, c.chunk_index, c.start, c.text) for c in chunks] == [("1", 0, 0, "b: 1\n---\none two"), ("1", 1, 8, "b: 1\n---\nthree four"), ("1", 2, 19, "b: 1\n---\nfive six")]
+    assert chunks[1].chunk_id == hashlib.blake2b(f"1|1|{chunks[1].text}".encode(), digest_size=16).hexdigest()
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "chunk_id string, text string")
+    first = providers.embed_model(rows, providers.Deterministic(), 4)
+    marked = first.withColumn("embedding", F.when(F.col("id") == "a", F.array(F.lit(9.0))).otherwise(F.col("embedding"))).where("id = 'a'")
+    again = {r.id: r.embedding for r in providers.embed_model(rows, providers.Deterministic(), 4, marked).collect()}
+    assert again["a"] == [9.0] and set(again) == {"a", "b"}
+    other = {r.id: r.embedding for r in providers.embed_model(rows, providers.Deterministic("m2"), 4, marked).collect()}
+    assert other["a"] != [9.0]
+    assert providers.one_space(first, marked) == first.first().config_hash
+    with pytest.raises(ValueError):
+        providers.one_space(first, providers.embed_model(rows, providers.Deterministic("m2"), 4))
+
+
+def test_llm_model_and_budget(spark):
+    rows = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "gamma")], "doc_id long, text string")
+    item = {"type": "object", "properties": {"n": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}}
+    one = {r.row_id: r for r in providers.llm_model(rows, providers.Deterministic(), item, prompt="p ").collect()}
+    want = providers.Deterministic().complete("p alpha beta", item)
+    assert set(one) == {"1", "3"} and (one["1"].n, one["1"].tags) == (want["n"], want["tags"])
+    many = providers.llm_model(rows, providers.Deterministic(), {"type": "object", "properties": {"items": {"type": "array", "items": item}}}, many="items").collect()
+    assert sorted(r.row_id for r in many) == ["1__0", "1__1", "3__0", "3__1"]
+    assert providers.check_budget(rows, documents=2, size=15, tokens=3) == {"documents": 2, "bytes": 15, "tokens": 3}
+    with pytest.raises(ValueError):
+        providers.check_budget(rows, tokens=2)
+
+
+def test_refusals(spark):
+    links = spark.createDataFrame([("m1", "matched"), ("m2", "ambiguous")], "entity_id string, status string")
+    assert nlp.refuse_ambiguous(links.limit(1)).count() == 1
+    with pytest.raises(ValueError, match="m2"):
+        nlp.refuse_ambiguous(links)
+    pairs = spark.createDataFrame([(1,), (1,), (2,)], "document_id long")
+    assert nlp.capped_pairs(pairs, 2).count() == 3
+    with pytest.raises(ValueError, match="document 1"):
+        nlp.capped_pairs(pairs, 1)
+    with pytest.raises(ValueError):
+        incremental.append_log(pairs, links.select(F.col("entity_id").alias("document_id")))
+    with pytest.raises(ValueError, match="'2'"):
+        features.require_none(pairs.where("document_id = 2"), "disagree")
+    a = spark.createDataFrame([("x", 1), ("y", None), ("x", 1)], "alias string, id int")
+    same = nlp.reference_fingerprint(a.orderBy("alias", ascending=False).limit(2), ["alias", "id"]).first()
+    assert nlp.reference_fingerprint(a, ["alias", "id"]).first() == same and same.rows == 2
