@@ -193,11 +193,12 @@ def representatives(clustered: DataFrame, n: int, id_col: str = "vec_id") -> Dat
 def lda_topics(counts: DataFrame, vocab: DataFrame, k: int, top: int = 10, seed: int = 7) -> DataFrame:
     """(topic, rank, term, weight) of pyspark.ml LDA over a vocabulary of bounded size (max_features)."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.feature import CountVectorizerModel
 
-    size = vocab.count()
-    pairs = counts.join(vocab, "term").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("term_index", F.col("count").cast("double").alias("c")))).alias("x"))
-    vector = F.udf(lambda x: SparseVector(size, [r[0] for r in x], [r[1] for r in x]), VectorUDT())
-    model = LDA(k=k, seed=seed, maxIter=10).fit(pairs.select("row_id", vector("x").alias("features")))
+    words = [r.term for r in vocab.orderBy("term_index").select("term").collect()]  # as many as max_features
+    repeated = F.flatten(F.collect_list(F.array_repeat("term", F.col("count").cast("int"))))
+    rows = counts.join(vocab, "term").groupBy("row_id").agg(repeated.alias("words"))
+    pairs = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="features").transform(rows)
+    model = LDA(k=k, seed=seed, maxIter=10).fit(pairs.select("row_id", "features"))
     t = model.describeTopics(top).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
     return t.select("topic", "rank", F.col("z.termIndices").cast("long").alias("term_index"), F.col("z.termWeights").alias("weight")).join(vocab.select("term", "term_index"), "term_index").select("topic", "rank", "term", "weight")

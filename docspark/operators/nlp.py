@@ -10,13 +10,12 @@ from docspark.functions.text import STOP_WORDS, tokens
 
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(document_id, token_index, sentence_index, token_text, lemma, is_stop, is_alpha): sentences end at [.!?] before blanks or the end."""
-    sentences = F.posexplode(F.split(text_col, r"(?<=[.!?])\s+"))
-    s = docs.select(F.col(id_col).alias("document_id"), sentences.alias("sentence_index", "sentence"))
-    t = s.select("document_id", "sentence_index", F.posexplode(tokens(F.col("sentence"), lower=False)).alias("at", "token_text"))
-    index = F.row_number().over(Window.partitionBy("document_id").orderBy("sentence_index", "at")) - 1
+    # Tokens are numbered inside the row, so nothing is shuffled.
+    sentence = lambda s, i: F.transform(tokens(s, lower=False), lambda w: F.struct(i.cast("long").alias("i"), w.alias("w")))
+    t = docs.select(F.col(id_col).alias("document_id"), F.posexplode(F.flatten(F.transform(F.split(text_col, r"(?<=[.!?])\s+"), sentence))).alias("at", "t"))
     return t.select(
-        "document_id", index.cast("long").alias("token_index"), F.col("sentence_index").cast("long").alias("sentence_index"), "token_text",
-        F.lower("token_text").alias("lemma"), F.lower("token_text").isin(*STOP_WORDS).alias("is_stop"), F.col("token_text").rlike(r"^\p{L}+$").alias("is_alpha"),
+        "document_id", F.col("at").cast("long").alias("token_index"), F.col("t.i").alias("sentence_index"), F.col("t.w").alias("token_text"),
+        F.lower("t.w").alias("lemma"), F.lower("t.w").isin(*STOP_WORDS).alias("is_stop"), F.col("t.w").rlike(r"^\p{L}+$").alias("is_alpha"),
     )
 
 
@@ -106,6 +105,13 @@ def cooccurrences(mentions: DataFrame, max_gap: int | None = None) -> DataFrame:
     """Undirected pairs of mentions of one sentence, or at most `max_gap` characters apart in one document."""
     keys = ["document_id", "sentence_index"] if max_gap is None else ["document_id"]
     a, b = mentions.alias("a"), mentions.alias("b")
+    if max_gap is not None:
+        # A mention meets those of its own stretch of the document and of the next one, not all of the document. It starts at most
+        # max_gap behind the end of the other, so stretches are as long as that and the longest mention.
+        width = mentions.agg(F.max(F.col("end") - F.col("start")) + max_gap + 1).scalar()
+        placed = mentions.withColumn("__width", width).withColumn("__s", F.floor(F.col("start") / F.col("__width"))).drop("__width")
+        keys = [*keys, "__s"]
+        a, b = placed.withColumn("__s", F.explode(F.array("__s", F.col("__s") + 1))).alias("a"), placed.alias("b")
     cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.struct("a.start", "a.entity_id") < F.struct("b.start", "b.entity_id")]
     if max_gap is not None:
         cond.append(F.col("b.start") - F.col("a.end") <= max_gap)

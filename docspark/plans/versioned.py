@@ -1,15 +1,14 @@
-"""Parquet tables in versioned folders with a pointer that is swapped last."""
+"""Parquet tables in versioned folders with pointers that only ever grow in number."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class VersionedTable:
-    """Every write makes a new folder; readers see it once the pointer names it. Works on any Hadoop file system."""
+    """Every write makes a new folder; readers see it once a pointer names it, and at every moment one does. Works on any Hadoop file system."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -17,12 +16,17 @@ class VersionedTable:
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+
+    def _pointers(self) -> list[str]:
+        if not self._fs.exists(self._path("")):
+            return []
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path("")) if f.getPath().getName().startswith("current-"))
 
     def current(self) -> str | None:
-        if not self._fs.exists(self._path("current.json")):
-            return None
-        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.root}/current.json").first()[1])["version"]
+        """The version that the last pointer names: pointers are `current-NUMBER-VERSION` and are never replaced."""
+        names = self._pointers()
+        return names[-1].split("-", 2)[2] if names else None
 
     def read(self) -> DataFrame:
         version = self.current()
@@ -34,10 +38,8 @@ class VersionedTable:
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{version}")
-        out = self._fs.create(self._path("next.json"), True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        if self._fs.exists(self._path("current.json")):
-            self._fs.delete(self._path("current.json"), False)
-        self._fs.rename(self._path("next.json"), self._path("current.json"))
-        return version
+        while True:  # of two writers with one number, one takes the next
+            names = self._pointers()
+            number = int(names[-1].split("-")[1]) + 1 if names else 0
+            if not any(n.startswith(f"current-{number:012d}-") for n in names) and self._fs.createNewFile(self._path(f"current-{number:012d}-{version}")):
+                return version

@@ -24,15 +24,32 @@ def scan_folder(spark: SparkSession, root: str, source: str, glob: str = "*", re
     """(document_id, source_path, source_uri, content_hash, modified_at, content) of each file; `keep` filters relative paths."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
     rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
-    ident = F.udf(lambda p: document_id(source, p), T.StringType())
+
+    @F.pandas_udf(T.StringType())
+    def ident(path: pd.Series) -> pd.Series:
+        return path.map(lambda p: document_id(source, p))
+
     d = f.select(rel.alias("source_path"), F.col("path").alias("source_uri"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified_at"), "content")
     if keep:
         d = d.where(F.col("source_path").rlike(fnmatch.translate(keep).replace("\\Z", "$").replace("\\z", "$")))
     return d.withColumn("document_id", ident("source_path"))
 
 
-def scan_table(df: DataFrame, key: str) -> DataFrame:
-    """Rows as documents: (document_id, content); null or repeated keys are an error when the plan runs."""
+def changed_since(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Rows of a scan (source_uri, content_hash) whose file now has other bytes, or none: what a verified fetch must refuse."""
+    paths = [r[0] for r in found.select("source_uri").distinct().limit(100_001).collect()]
+    if len(paths) > 100_000:
+        raise ValueError("verify at most 100,000 files at once")
+    if not paths:
+        return found.limit(0)
+    now = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("__path"), F.sha2("content", 256).alias("__hash"))
+    return found.join(now, F.col("source_uri") == F.col("__path"), "left").where(~F.col("content_hash").eqNullSafe(F.col("__hash"))).drop("__path", "__hash")
+
+
+def scan_table(df: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Rows as documents: (document_id, content); null or repeated keys are an error when the plan runs, and so are more than `most` rows."""
+    if most is not None and df.limit(most + 1).count() > most:
+        raise ValueError(f"the table has more than {most} rows")
     bad = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).agg(F.count("*")).scalar()
     return df.withColumn("__bad", bad).select(
         F.when(F.col("__bad") > 0, F.raise_error(F.lit(f"null or repeated {key}")).cast("string")).otherwise(F.col(key).cast("string")).alias("document_id"), F.to_json(F.struct(*df.columns)).alias("content")
@@ -51,6 +68,7 @@ def json_fields(content: Column, fields: list[str]) -> tuple[Column, Column]:
 
 
 class _Page(HTMLParser):
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
     SKIP = {"script", "style", "noscript", "template"}
     BLOCK = {"p", "div", "section", "article", "li", "ul", "ol", "tr", "table", "br", "h1", "h2", "h3", "h4", "h5", "h6", "header", "footer", "nav", "blockquote", "pre", "title"}
 
@@ -82,7 +100,8 @@ class _Page(HTMLParser):
             self._cell = []
         if re.fullmatch("h[1-6]", tag):
             self._head = []
-        self._stack.append(tag)
+        if tag not in self.VOID:
+            self._stack.append(tag)
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
@@ -96,8 +115,9 @@ class _Page(HTMLParser):
         if re.fullmatch("h[1-6]", tag) and self._head is not None:
             self.sections.append((int(tag[1]), " ".join("".join(self._head).split())))
             self._head = None
-        while self._stack and self._stack.pop() != tag:
-            pass
+        if tag in self._stack:  # an end tag that nothing opened closes nothing
+            while self._stack.pop() != tag:
+                pass
 
     def handle_data(self, data):
         if self._skip:
