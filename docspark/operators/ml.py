@@ -202,3 +202,32 @@ def lda_topics(counts: DataFrame, vocab: DataFrame, k: int, top: int = 10, seed:
     model = LDA(k=k, seed=seed, maxIter=10).fit(pairs.select("row_id", "features"))
     t = model.describeTopics(top).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
     return t.select("topic", "rank", F.col("z.termIndices").cast("long").alias("term_index"), F.col("z.termWeights").alias("weight")).join(vocab.select("term", "term_index"), "term_index").select("topic", "rank", "term", "weight")
+
+
+def l2_normalised(v: Column) -> Column:
+    """The vector at unit length; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double"))))
+
+
+def pivoted(features: DataFrame, vocab: DataFrame, value: str = "count") -> DataFrame:
+    """(row_id, vector): long features as one dense array a row, in the order of term_index; the vocabulary is of bounded size."""
+    size = vocab.agg(F.count("*").cast("int")).scalar()
+    cells = features.select("row_id", "term", value).join(vocab.select("term", "term_index"), "term").groupBy("row_id")
+    cells = cells.agg(F.map_from_entries(F.collect_list(F.struct("term_index", F.col(value).cast("double").alias("x")))).alias("m"))
+    cells = cells.withColumn("size", size.cast("long"))
+    return cells.select("row_id", F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(row_id, neighbour_id, score, rank): the k nearest other rows of every row by cosine."""
+    from docspark.operators.retrieval import vector_topk
+
+    got = vector_topk(vectors.select(F.col(id_col).alias("query_id"), F.col(column).alias("v")), vectors.select(F.col(id_col).alias("row_id"), F.col(column).alias("v")), k, exclude_self=True)
+    return got.select(F.col("query_id").alias("row_id"), F.col("row_id").alias("neighbour_id"), "score", "rank")
+
+
+def scored_predictions(predicted: DataFrame, expected: DataFrame) -> DataFrame:
+    """predicted(row_id, label, ...) with whether it equals expected(row_id, label); null where nothing is expected."""
+    e = expected.select(F.col("row_id").alias("__id"), F.col("label").alias("__label"))
+    return predicted.join(e, F.col("row_id") == F.col("__id"), "left").withColumn("correct", F.col("label") == F.col("__label")).drop("__id", "__label")

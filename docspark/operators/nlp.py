@@ -175,3 +175,17 @@ def reference_fingerprint(aliases: DataFrame, columns: list[str]) -> DataFrame:
     h = aliases.select(*columns).distinct().select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("h"))
     part = lambda i: F.conv(F.substring("h", i, 15), 16, 10).cast("decimal(38,0)")
     return h.agg(F.sha2(F.concat_ws("/", F.sum(part(1)), F.sum(part(16)), F.count("*")), 256).alias("fingerprint"), F.count("*").alias("rows"))
+
+
+def lexicon_conflicts(lexicon: DataFrame) -> DataFrame:
+    """(term, category, weights) of lexicon(term, category, weight) whose term has several weights in a category, whatever its case."""
+    g = lexicon.groupBy(F.lower("term").alias("term"), "category").agg(F.count_distinct("weight").alias("weights"))
+    return g.where("weights > 1")
+
+
+def tone_coverage(toks: DataFrame, lexicon: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, token_count, hits, coverage): the share of a document's tokens that the lexicon has; null without tokens."""
+    known = lexicon.select(F.col("term").alias("__term")).distinct()
+    t = toks.join(known, F.col("lemma") == F.col("__term"), "left").groupBy("document_id").agg(F.count("*").alias("token_count"), F.count("__term").alias("hits"))
+    d = documents.select("document_id").join(t, "document_id", "left").fillna(0, ["token_count", "hits"])
+    return d.withColumn("coverage", F.when(F.col("token_count") > 0, F.round(F.col("hits") / F.col("token_count"), 9)))

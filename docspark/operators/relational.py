@@ -76,3 +76,25 @@ def publishable(now) -> Column:
 def freshness(at: Column, now: Column, warn_hours: float, error_hours: float) -> Column:
     age = (F.unix_timestamp(now) - F.unix_timestamp(at)) / 3600
     return F.when(at.isNull(), "unknown").when(age > error_hours, "error").when(age > warn_hours, "warn").otherwise("pass")
+
+
+def match_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (matched, left_only, right_only) of the keys of two tables; repeated keys on either side are an error when the plan runs."""
+    once = lambda d, name: d.groupBy(*keys).agg(F.count("*").alias(name))
+    j = once(left, "__l").join(once(right, "__r"), keys, "full")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    several = F.greatest(F.max(F.coalesce("__l", F.lit(0))), F.max(F.coalesce("__r", F.lit(0)))) > 1
+    out = j.agg(n(F.col("__l").isNotNull() & F.col("__r").isNotNull()).alias("matched"), n(F.col("__r").isNull()).alias("left_only"), n(F.col("__l").isNull()).alias("right_only"), several.alias("__several"))
+    return out.select(F.when(F.col("__several"), F.raise_error(F.lit("repeated keys")).cast("long")).otherwise(F.col("matched")).alias("matched"), "left_only", "right_only")
+
+
+def enriched(hits: DataFrame, rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """hits(id, ...) with columns of the rows they point at; hits without a row stay, with nulls."""
+    r = rows.select(F.col(id_col).alias("__id"), *columns)
+    return hits.join(r, F.col("id") == F.col("__id"), "left").drop("__id")
+
+
+def scalar_text(df: DataFrame) -> DataFrame:
+    """df with arrays, maps and structs as JSON text and other columns as they are."""
+    nested = ("array", "map", "struct")
+    return df.select(*(F.to_json(c).alias(c) if kind.startswith(nested) else F.col(c) for c, kind in df.dtypes))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import itertools
 import re
 from graphlib import TopologicalSorter
 
@@ -112,3 +115,41 @@ def build(graph: ModelGraph, run_one) -> dict[str, str]:
             status[n] = "error"
             status[f"{n}:message"] = str(e)[:500]
     return status
+
+
+def expand(name: str, sql: str, each: dict[str, list[str]]) -> dict[str, str]:
+    """Models from a template: one for each combination of the values of `each`, with `{{ key }}` replaced in name and statement.
+    Names must differ."""
+    out: dict[str, str] = {}
+    for values in itertools.product(*each.values()):
+        made = [name, sql]
+        for key, value in zip(each, values, strict=True):
+            made = [re.sub(r"\{\{\s*" + re.escape(key) + r"\s*\}\}", lambda _, v=value: v, x) for x in made]
+        if made[0] in out:
+            raise ValueError(f"two models are named {made[0]}")
+        out[made[0]] = made[1]
+    return out
+
+
+def dry_run(spark, sql: str, tables: dict) -> list[tuple[str, str]]:
+    """(column, type) of what a model would return; nothing is executed."""
+    return run(spark, sql, tables).dtypes
+
+
+def manifest(models: dict[str, str], tags: dict[str, list[str]] | None = None) -> dict[str, dict]:
+    """What a project is made of: for each model the digest of its statement, what it reads and its tags."""
+    return {n: {"digest": hashlib.sha256(" ".join(q.split()).encode()).hexdigest(), "refs": sorted(refs(q)), "tags": sorted((tags or {}).get(n, []))} for n, q in sorted(models.items())}
+
+
+def modified(before: dict[str, dict], after: dict[str, dict]) -> dict[str, list[str]]:
+    """Models that are new, changed or removed between two manifests."""
+    return {
+        "new": sorted(set(after) - set(before)),
+        "changed": sorted(n for n in set(after) & set(before) if after[n]["digest"] != before[n]["digest"]),
+        "removed": sorted(set(before) - set(after)),
+    }
+
+
+def code_version(*functions) -> str:
+    """A digest of the source of some functions: rows made by other code are made anew."""
+    return hashlib.sha256("\n".join(inspect.getsource(f) for f in functions).encode()).hexdigest()[:16]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
+from docspark.functions import time as tm
 from docspark.operators import dedup, features, incremental, ml, nlp, providers, quality, relational, retrieval
 from docspark.plans import sql_models
 from docspark.session import table
@@ -868,3 +869,64 @@ def llm_model(spark, d):
 @query()
 def llm_model_many(spark, d):
     return providers.llm_model(table(spark, d, "benchmark"), providers.Deterministic(), {"type": "object", "properties": {"items": {"type": "array", "items": _ANSWER}}}, id_col="item_id", many="items")
+
+
+@query("SELECT event_id, (ts - INTERVAL 2 HOUR) AS at FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events WHERE event_id % 3 = 0) UNION ALL SELECT event_id, date_trunc('day', ts) FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 3 = 2")
+def iso_times(spark, d):
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(kind == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise("no time")
+    return table(spark, d, "events").select("event_id", tm.iso_utc(text).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))::BIGINT / 3.6e9::DOUBLE, 2) AS hours, date_trunc('hour', ts) AS hour, CASE WHEN user_id >= 10 AND user_id < 80 THEN user_id - (user_id - 10) % 20 END AS bucket FROM events")
+def time_partitions(spark, d):
+    return table(spark, d, "events").select("event_id", tm.hours_between(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.col("ts")).alias("hours"), tm.partition_of(F.col("ts"), "hour").cast("timestamp_ntz").alias("hour"), tm.range_bucket(F.col("user_id"), 10, 80, 20).alias("bucket"))
+
+
+@query("WITH a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 > 0), b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 > 0) SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS matched, count(*) FILTER (b.k IS NULL) AS left_only, count(*) FILTER (a.k IS NULL) AS right_only FROM a FULL JOIN b ON a.k = b.k")
+def match_counts(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    return relational.match_counts(o.where("o_orderkey % 3 > 0"), o.where("o_orderkey % 5 > 0"), ["o_orderkey"])
+
+
+@query(f"WITH {_BM25_SQL} SELECT query_id, b.doc_id AS id, rank, lang, source FROM b LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 > 0) d ON d.doc_id = b.doc_id")
+def hit_enrichment(spark, d):
+    return relational.enriched(_bm25(spark, d).select("query_id", F.col("doc_id").alias("id"), "rank"), table(spark, d, "documents").where("doc_id % 4 > 0"), "doc_id", ["lang", "source"])
+
+
+@query("SELECT lower(p_name) AS term, p_type AS category, count(DISTINCT p_size) AS weights FROM part GROUP BY ALL HAVING count(DISTINCT p_size) > 1")
+def lexicon_conflicts(spark, d):
+    return nlp.lexicon_conflicts(table(spark, d, "part").select(F.upper("p_name").alias("term"), F.col("p_type").alias("category"), F.col("p_size").alias("weight")))
+
+
+@query(f"WITH {_TOKENS_SQL}, f AS (SELECT document_id, count(*) AS n, count(*) FILTER (lemma IN ({', '.join(repr(a) for a, _, _ in _LEXICON)})) AS h FROM t GROUP BY document_id) SELECT doc_id AS document_id, coalesce(n, 0) AS token_count, coalesce(h, 0) AS hits, CASE WHEN n > 0 THEN round(h / n, 9) END AS coverage FROM documents LEFT JOIN f ON document_id = doc_id")
+def tone_coverage(spark, d):
+    lex = spark.createDataFrame(list(_LEXICON), "term string, category string, weight double")
+    return nlp.tone_coverage(_sentences(spark, d), lex, table(spark, d, "documents").select(F.col("doc_id").alias("document_id")))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS norm, round(u[2], 6) AS second FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3 + 1) AS v FROM embeddings))")
+def l2_normalised(spark, d):
+    u = table(spark, d, "embeddings").select("vec_id", ml.l2_normalised(F.transform("embedding", lambda x: x.cast("double") * 3 + 1)).alias("u"))
+    return u.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(F.get("u", F.lit(1)), 6).alias("second"))
+
+
+@query(f"WITH {_TERMS_SQL}, {_VOCAB_SQL.replace('LIMIT 1000', 'LIMIT 50')} SELECT row_id, list_transform(range(0, 50), lambda i: coalesce(element_at(map_from_entries(list((term_index, count::DOUBLE))), i)[1], 0.0::DOUBLE))::VARCHAR AS vector FROM c JOIN v USING (term) GROUP BY row_id")
+def feature_matrix(spark, d):
+    c = ml.terms(table(spark, d, "documents"))
+    m = ml.pivoted(c, ml.vocabulary(c, 2, 1.0, 50))
+    return m.select("row_id", F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: x.cast("string")), ", "), F.lit("]")).alias("vector"))
+
+
+@query(
+    """WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS row_id, b.vec_id AS neighbour_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id)
+SELECT row_id, max(score) AS best FROM s GROUP BY row_id"""
+)
+def nearest_neighbours(spark, d):
+    return ml.neighbours(table(spark, d, "embeddings"), 5).groupBy("row_id").agg(F.round(F.max("score"), 6).alias("best"))
+
+
+@query(f"WITH p AS ({ORACLE['naive_bayes_predict']}) SELECT row_id, label, probability, label = quality::VARCHAR AS correct FROM p LEFT JOIN labels ON doc_id = row_id")
+def naive_bayes_scored(spark, d):
+    truth = table(spark, d, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("label"))
+    return ml.scored_predictions(naive_bayes_predict(spark, d), truth)

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
+from docspark.functions import time as tm
 from docspark.operators import dedup, features, incremental, ml, nlp, providers, quality, relational, retrieval
+from docspark.plans import sql_models
 from docspark.plans.sql_models import ModelGraph, build, compile_sql, refs, single_select
 from docspark.plans.versioned import VersionedTable
 from docspark.sources import files
@@ -290,3 +292,28 @@ def test_refusals(spark):
     a = spark.createDataFrame([("x", 1), ("y", None), ("x", 1)], "alias string, id int")
     same = nlp.reference_fingerprint(a.orderBy("alias", ascending=False).limit(2), ["alias", "id"]).first()
     assert nlp.reference_fingerprint(a, ["alias", "id"]).first() == same and same.rows == 2
+
+
+def test_model_templates_and_manifests(spark):
+    made = sql_models.expand("m_{{ a }}_{{ b }}", "SELECT '{{ a }}' AS x, {{ b }} AS y FROM {{ ref('t') }}", {"a": ["p", "q"], "b": ["1", "2"]})
+    assert list(made) == ["m_p_1", "m_p_2", "m_q_1", "m_q_2"] and made["m_q_1"] == "SELECT 'q' AS x, 1 AS y FROM {{ ref('t') }}"
+    with pytest.raises(ValueError):
+        sql_models.expand("same", "SELECT {{ a }}", {"a": ["1", "2"]})
+    assert sql_models.dry_run(spark, made["m_p_2"], {"t": spark.range(1)}) == [("x", "string"), ("y", "int")]
+    before = sql_models.manifest({"a": "SELECT 1", "b": "SELECT * FROM {{ ref('a') }}", "c": "SELECT 2"}, {"b": ["nightly"]})
+    after = sql_models.manifest({"a": "SELECT  1", "b": "SELECT * FROM {{ ref('a') }} LIMIT 1", "d": "SELECT 3"})
+    assert before["b"]["refs"] == ["a"] and before["b"]["tags"] == ["nightly"]
+    assert sql_models.modified(before, after) == {"new": ["d"], "changed": ["b"], "removed": ["c"]}
+    assert sql_models.code_version(sql_models.expand) != sql_models.code_version(sql_models.manifest)
+
+
+def test_spans_and_nested_values(spark):
+    assert [tm.seconds_of(x) for x in ("90 minutes", "1 week", "2days")] == [5400, 604_800, 172_800]
+    for bad in ("0 days", "a day", "3 moons"):
+        with pytest.raises(ValueError):
+            tm.seconds_of(bad)
+    d = spark.createDataFrame([(1, [1, 2], {"a": 1})], "id long, xs array<int>, m map<string,int>")
+    assert tuple(relational.scalar_text(d).first()) == (1, "[1,2]", '{"a":1}')
+    twice = spark.createDataFrame([(1,), (1,)], "k int")
+    with pytest.raises(Exception, match="repeated keys"):
+        relational.match_counts(twice, twice, ["k"]).collect()
