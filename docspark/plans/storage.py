@@ -35,7 +35,7 @@ def new_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # tables of texts stay until the application ends
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -625,11 +625,11 @@ def concepts_top(spark, d):
 
 @query(
     """WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate + INTERVAL 200 DAY END AS b FROM orders),
-w AS (SELECT *, row_number() OVER x AS r, lag(b) OVER x AS p FROM o WINDOW x AS (PARTITION BY o_custkey ORDER BY a, b NULLS LAST)) SELECT o_custkey, o_orderkey FROM w WHERE r > 1 AND (p IS NULL OR p > a)"""
+w AS (SELECT *, row_number() OVER x AS r, lag(b) OVER x AS p FROM o WINDOW x AS (PARTITION BY o_custkey ORDER BY a, b NULLS LAST)) SELECT o_custkey, count(*) AS overlaps FROM w WHERE r > 1 AND (p IS NULL OR p > a) GROUP BY o_custkey"""
 )
 def interval_overlaps(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("a"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate") + F.expr("INTERVAL 200 DAY")).alias("b"))
-    return relational.overlapping(o, "o_custkey", "a", "b").select("o_custkey", "o_orderkey")
+    return relational.overlapping(o, "o_custkey", "a", "b").groupBy("o_custkey").agg(F.count("*").alias("overlaps"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY l_orderkey, l_linenumber LIMIT 500")
