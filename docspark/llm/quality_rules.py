@@ -128,11 +128,14 @@ def fitted(seen: DataFrame, rounds: int = ROUNDS, rules: int = len(RULES)) -> Da
     ).select("m.*")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def _judged(marked: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
     """marked (features and votes) with base_failed, posterior and kept."""
     odds = F.col("m")["prior"] + F.aggregate(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), F.lit(0.0), lambda a, r: a + F.get(F.get(F.col("m")["rules"], r)["weights"], F.get(F.col("votes"), r)))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    d = marked.withColumn("m", model.select(F.struct("prior", "rules")).scalar()).withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    d = marked.withColumn("m", model.select(F.struct("prior", "rules")).scalar()).withColumn("base_failed", base_failed()).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
@@ -145,6 +148,7 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept. Rows are written once beside their counts, and never shuffled."""
-    seen = written(features(docs, True).withColumn("votes", votes()).select("n_words", "n_repeat_words", "votes", "row"), "features")
+    """The rows of docs that are kept. Rows that the base rule lets pass are written once beside their counts, and never shuffled."""
+    row = F.when(~base_failed(), F.col("row")).alias("row")
+    seen = written(features(docs, True).withColumn("votes", votes()).select("n_words", "n_repeat_words", "votes", row), "features")
     return _judged(seen, fitted(seen), threshold).where("kept").select("row.*")
