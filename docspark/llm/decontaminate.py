@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.plans.storage import written
@@ -45,12 +45,23 @@ def _hashed(df: DataFrame, key: str) -> DataFrame:
     return d.select(key, F.transform(F.array_remove(F.split("text", GAP), ""), lambda w: F.xxhash64(w)).alias("h"))
 
 
+def _constant(spark: SparkSession, longs: list[int]) -> Column:
+    """An array of longs as a constant of short text. Built from functions, its elements would stand in every text of the plan
+    that the driver makes, once for each use."""
+    jvm = spark.sparkContext._jvm
+    array = spark.sparkContext._gateway.new_array(jvm.long, len(longs))
+    jvm.java.nio.ByteBuffer.wrap(b"".join(x.to_bytes(8, "big", signed=True) for x in longs)).asLongBuffer().get(array)
+    catalyst = jvm.org.apache.spark.sql.catalyst.expressions
+    literal = catalyst.Literal(catalyst.UnsafeArrayData.fromPrimitiveArray(array), jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>"))
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
 def _bitmap(hashes: DataFrame) -> tuple[Column, int]:
     """The column x of `hashes` as a bitmap (a constant of 2**(bits - 6) longs) and its bits."""
     bits = min(BITS[1], max(BITS[0], math.ceil(math.log2(32 * hashes.count() + 1))))
     slot = F.shiftright(F.col("x").bitwiseAND(F.lit((1 << bits) - 1)), 6)
     words = dict(map(tuple, hashes.groupBy(slot.cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("b")).collect()))
-    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << (bits - 6)))), ",").cast("array<bigint>"), bits
+    return _constant(hashes.sparkSession, [words.get(i, 0) for i in range(1 << (bits - 6))]), bits
 
 
 def _has(bitmap: tuple[Column, int], x: Column) -> Column:

@@ -335,6 +335,18 @@ def test_decontamination_of_whole_items(spark, documents):
     assert {r.doc_id for r in documents.collect() if any(i in " ".join(words(r.text)) for i in items)} <= got
 
 
+def test_decontamination_keeps_its_bitmaps_out_of_the_plans_texts(spark, documents):
+    """The driver makes these texts again and again while a query runs."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    plan = decontaminate.decontaminate(documents, bench)._jdf.queryExecution()
+    assert len(plan.executedPlan().toString()) < 200_000 and len(plan.optimizedPlan().toString()) < 200_000
+
+
+def test_constant_keeps_every_long(spark):
+    longs = [0, 1, -1, 2**63 - 1, -(2**63), 1 << 40]
+    assert spark.range(1).select(decontaminate._constant(spark, longs)).first()[0] == longs
+
+
 def test_decontamination_finds_every_accepted_substitution(spark):
     """All placings of the most substitutions that the rule accepts, in items of 1 to 14 words and a lone passage of 14."""
     rng = np.random.default_rng(3)
