@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docspark.functions.text import STOP_WORDS, tokens
 
@@ -142,14 +146,134 @@ def concepts(links: DataFrame, top_n: int) -> DataFrame:
     return c.orderBy(F.desc("frequency"), "canonical_id").limit(top_n)
 
 
+def _squares(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of squares of each vector, added up in its order."""
+    length, out = np.diff(starts), np.zeros(len(starts) - 1)
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        v = values[starts[at][:, None] + np.arange(n)]
+        out[at] = _dots(v, v)
+    return out
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out = out + x[:, d] * y[:, d]
+    return out
+
+
+class _Vectors:
+    """Vectors one after another: values, starts, and which have a null element; groups of one length, scaled to norm 1."""
+
+    def __init__(self, values: np.ndarray, starts: np.ndarray, null: np.ndarray):
+        self.null, self.length = null, np.diff(starts)
+        with np.errstate(all="ignore"):
+            self.norm = np.sqrt(_squares(values, starts))
+            self.groups = {}
+            for n in np.unique(self.length).tolist():
+                at = np.flatnonzero(self.length == n)
+                v = values[starts[at][:, None] + np.arange(n)]
+                # What double precision can't scale is NaN, which no bound leaves out.
+                norm = self.norm[at]
+                unit = np.where(((norm >= 1e-100) & (norm <= 1e100))[:, None], v / norm[:, None], np.nan)
+                unit[null[at] | (norm == 0)] = 0.0
+                self.groups[n] = (at, v, unit)
+        self.zero = null | (self.norm == 0)
+
+
+def _vector_pairs(m: _Vectors, r: _Vectors, spaces: np.ndarray, threshold: float, margin: float):
+    """(members of m, members of r, cosines) of at least the threshold and, within a mention, this block and a namespace, within the margin of
+    the best. Products of matrices bound the cosines; what they leave open is added up in the order of the elements."""
+    near = 1e-8  # above all rounding here, and that of scores to nine digits
+    none = np.empty((0, 0))
+    for n, (m_at, m_v, m_unit) in m.groups.items():
+        for k, (r_at, r_v, r_unit) in r.groups.items():
+            if k != n and threshold > 0:
+                continue  # no cosine; 0 beside a vector without a norm
+            order = np.argsort(spaces[r_at], kind="stable")
+            to, v, unit = r_at[order], r_v[order], (r_unit[order].T if k == n else none)
+            cuts = np.flatnonzero(np.diff(spaces[to], prepend=-1))
+            widths = np.diff(cuts, append=len(to))
+            step = max(1, PAIRS_AT_ONCE // len(to))
+            for begin in range(0, len(m_at), step):
+                own = slice(begin, begin + step)
+                with np.errstate(all="ignore"):
+                    if k == n:
+                        rough = m_unit[own] @ unit
+                        best = np.repeat(np.fmax.reduceat(rough, cuts, axis=1), widths, axis=1)
+                        open_ = ~(rough < np.fmax(threshold, best - margin) - near)
+                    else:
+                        open_ = np.zeros((len(m_at[own]), len(to)), bool)
+                    if threshold <= 0:
+                        open_ |= m.zero[m_at[own]][:, None] | r.zero[to][None]
+                    i, j = np.nonzero(open_)
+                    for part in range(0, len(i), OPEN_AT_ONCE):
+                        x, y = i[part : part + OPEN_AT_ONCE], j[part : part + OPEN_AT_ONCE]
+                        a, b = m_at[own][x], to[y]
+                        norm, null = m.norm[a] * r.norm[b], m.null[a] | r.null[b]
+                        zero = null | (norm <= 0)
+                        score = _dots(m_v[own][x], v[y]) / norm if k == n else np.full(len(x), -np.inf)
+                        score[zero] = 0.0
+                        kept = ~(score < threshold) & (zero | (k == n))  # a NaN is above all, as in Spark
+                        yield a[kept], b[kept], score[kept]
+
+
+#: Values of references that go to the executors at once, cosines in a matrix, and cosines added up at once.
+REFERENCE_VALUES, PAIRS_AT_ONCE, OPEN_AT_ONCE = 1 << 21, 1 << 21, 1 << 15
+
+
 def vector_links(mentions: DataFrame, aliases: DataFrame, threshold: float, margin: float = 0.0) -> DataFrame:
     """mentions(entity_id, embedding) to the aliases(entity_namespace, canonical_id, embedding) of cosine at least `threshold`: per namespace the
-    best and what lies within `margin` of it. Aliases are a reference set and go to the executors; mentions are read where they lie."""
-    from docspark.operators.retrieval import cosine
-
-    a = aliases.select("entity_namespace", "canonical_id", F.col("embedding").alias("__v")).where("__v is not null")
-    scored = mentions.where("embedding is not null").join(F.broadcast(a), cosine(F.col("embedding"), F.col("__v")) >= threshold)
-    scored = scored.select("entity_id", "entity_namespace", "canonical_id", cosine(F.col("embedding"), F.col("__v")).alias("score"))
+    best and what lies within `margin` of it. Aliases are a reference set and go to the executors in blocks of REFERENCE_VALUES; mentions are read
+    where they lie, and of each block only what its own best leaves open is shuffled."""
+    kinds = {"entity_id": mentions.schema["entity_id"].dataType, "entity_namespace": aliases.schema["entity_namespace"].dataType, "canonical_id": aliases.schema["canonical_id"].dataType}
+    schema = StructType([*(StructField(k, v) for k, v in kinds.items()), StructField("score", DoubleType())])
+    types = {k: to_arrow_type(v) for k, v in kinds.items()}
+    vector = F.col("embedding").cast("array<double>").alias("v")
+    rows = mentions.where("embedding is not null").select("entity_id", vector)
+    columns = [*types, "score"]
+
+    def against(names: list, ids: list, vectors: list[np.ndarray], nulls: list[bool]) -> DataFrame:
+        starts = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int64)
+        block = (names, ids, np.concatenate([np.zeros(0), *vectors]), starts, np.array(nulls, bool))
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            names, ids, values, starts, null = shared.value
+            if not ids:
+                return
+            refs = _Vectors(values, starts, null)
+            number: dict = {}
+            spaces = np.array([number.setdefault(x, len(number)) for x in names])
+            names, ids = pa.array(names, types["entity_namespace"]), pa.array(ids, types["canonical_id"])
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = batch.column(1)
+                lengths = v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                at, inner = np.concatenate([[0], np.cumsum(lengths)]), v.flatten()
+                gone = np.concatenate([[0], np.cumsum(inner.is_null().to_numpy(zero_copy_only=False))])
+                own = _Vectors(inner.to_numpy(zero_copy_only=False).astype(float), at, gone[at[1:]] > gone[at[:-1]])
+                for a, b, score in _vector_pairs(own, refs, spaces, threshold, margin):
+                    a, b = pa.array(a), pa.array(b)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(a), names.take(b), ids.take(b), pa.array(score)], names=columns)
+
+        return rows.mapInArrow(run, schema)
+
+    scored, names, ids, vectors, nulls, held = None, [], [], [], [], 0
+    for name, key, v in aliases.where("embedding is not null").select("entity_namespace", "canonical_id", vector).toLocalIterator():
+        names.append(name)
+        ids.append(key)
+        vectors.append(np.array(v, float))  # None becomes NaN
+        nulls.append(None in v)
+        held += len(v) + 1
+        if held >= REFERENCE_VALUES:
+            part = against(names, ids, vectors, nulls)
+            scored, names, ids, vectors, nulls, held = part if scored is None else scored.union(part), [], [], [], [], 0
+    if ids or scored is None:
+        part = against(names, ids, vectors, nulls)
+        scored = part if scored is None else scored.union(part)
     best = scored.groupBy("entity_id", "entity_namespace", "canonical_id").agg(F.round(F.max("score"), 9).alias("score"))
     return resolve_candidates(best, margin)
 

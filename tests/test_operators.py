@@ -317,3 +317,23 @@ def test_spans_and_nested_values(spark):
     twice = spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(Exception, match="repeated keys"):
         relational.match_counts(twice, twice, ["k"]).collect()
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.0, -0.5])
+def test_vector_links_equal_the_cosine_of_every_pair(spark, monkeypatch, threshold):
+    odd = [[], [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 0.0], [float("inf"), 1.0, 1.0], [1e-200, 0.0, 1e-200], [1.0, 2.0], [0.5, 0.5, 0.5], None]
+    usual = [[math.sin(i * 7.1), math.cos(i * 3.3), math.sin(i + 0.5)] for i in range(60)]
+    m = spark.createDataFrame([(2**53 + i, v) for i, v in enumerate(odd + usual)] + [(None, usual[0]), (2**53 + 20, usual[3])], "entity_id long, embedding array<double>")
+    a = spark.createDataFrame([((None, "x", "y", "z")[i % 4], 2**53 + i, v) for i, v in enumerate(usual[::2] + odd + usual[::3])], "entity_namespace string, canonical_id long, embedding array<double>")
+    monkeypatch.setattr(nlp, "REFERENCE_VALUES", 80)
+    monkeypatch.setattr(nlp, "PAIRS_AT_ONCE", 100)
+    monkeypatch.setattr(nlp, "OPEN_AT_ONCE", 7)
+    for mentions in (m, m.where("entity_id between pow(2, 53) + 9 and pow(2, 53) + 30")):
+        score = retrieval.cosine(F.col("embedding"), F.col("v"))
+        pairs = mentions.where("embedding is not null").crossJoin(a.where("embedding is not null").withColumnRenamed("embedding", "v")).withColumn("score", score).where(F.col("score") >= threshold)
+        pairs = pairs.groupBy("entity_id", "entity_namespace", "canonical_id").agg(F.round(F.max("score"), 9).alias("score"))
+        want = nlp.resolve_candidates(pairs, 0.05)
+        got = nlp.vector_links(mentions, a, threshold, 0.05)
+        assert got.dtypes == want.dtypes and "NestedLoop" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+    assert nlp.vector_links(m, a.limit(0), threshold).count() == 0 and nlp.vector_links(m.limit(0), a, threshold).count() == 0
